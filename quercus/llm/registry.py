@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quercus.llm import bpe
+from quercus.llm import bpe, packing, quality_rules, simhash
 from quercus.llm.common import table
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,21 @@ def query(name, sql=None):
     return add
 
 
+@query("op5_packing")
+def op5(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), BPE)
+
+
+@query("op7_quality_rules")
+def op7(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op9_simhash")
+def op9(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op10_bpe")
 def op10(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), BPE)
