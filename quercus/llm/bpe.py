@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quercus.llm.common import slices
+from quercus.llm.common import slices, texts
 
 LONG = 8192  # bytes; longer unsplit pieces are cut in halves
 CACHE = 400_000  # pieces kept per worker
@@ -193,7 +193,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = [np.frombuffer(c.encode(t), "<i4") for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    src = texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
@@ -225,5 +225,5 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     text_sha.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    src = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
+    src = texts(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -60,5 +60,26 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 21) -> Iterator[
         yield batch.slice(a, b - a)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Inside, Arrow batches have ``most`` rows at most: for jobs whose rows are large blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id`` and ``text`` alone; Arrow batches of texts are kept to 1000 rows, as long texts make large batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= 1000:
+        conf.set(key, "1000")
+    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

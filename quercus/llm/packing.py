@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.llm.bpe import codec
-from quercus.llm.common import slices, written
+from quercus.llm.common import slices, texts, written
 
 WINDOW = 1024
 SALTS = 64
@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, id
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    src = texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", "doc_id")
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quercus.llm.common import slices
+from quercus.llm.common import slices, texts
 
 SYMBOLS = "[#*$%&|<>]"
 SPACE = " \t\n\x0b\x0c\r"
@@ -104,11 +104,11 @@ def covered(best: np.ndarray, least: int, width: int | None = None) -> np.ndarra
     return np.maximum.accumulate(end) > idx if len(best) else np.zeros(0, bool)
 
 
-def measure(texts: list[str | None], rules: RepetitionRules) -> dict[str, np.ndarray]:
+def measure(docs: list[str | None], rules: RepetitionRules) -> dict[str, np.ndarray]:
     """The columns of :func:`quality_rules` for a list of whole texts."""
     codes: list[int] = []
     n_words, chars, symbols, dup = [], [], [], []
-    for t in texts:
+    for t in docs:
         t = t or ""
         own: dict[bytes, int] = {}
         at = len(codes)
@@ -158,7 +158,7 @@ def quality_rules(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), i
                 found = measure(part.column("text").to_pylist(), rules)
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, found.values())], ["id", *found])
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    src = texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, " + SCHEMA).withColumnRenamed("id", id_col)
 
 

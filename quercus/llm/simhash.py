@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import drop, slices, written
+from quercus.llm.common import drop, slices, texts, written
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 CROWDED = 256  # nodes of a bucket that is dealt out again
@@ -89,9 +89,9 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
     return out
 
 
-def simhashes(texts: list[str | None], shingle: int = 3) -> np.ndarray:
+def simhashes(rows: list[str | None], shingle: int = 3) -> np.ndarray:
     """64-bit fingerprints of whole texts; no words: zero."""
-    docs = [(t or "").encode().lower().split() for t in texts]
+    docs = [(t or "").encode().lower().split() for t in rows]
     n = np.fromiter(map(len, docs), np.int64, len(docs))
     words = [w for d in docs for w in d]
     buf = np.frombuffer(b" ".join(words), np.uint8)
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 fp = simhashes(part.column("text").to_pylist(), shingle).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    src = texts(docs, id_col, text_col)
     return src.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
 
 
