@@ -11,7 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 _OWN: dict[str, str] = {}
@@ -81,5 +82,28 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
 
 
+MAYBE = "q_maybe"
+BITMAP_WORDS = 1 << 17  # rows of a bitmap at the very most, whatever the input: a proven bound for its broadcast
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    h = F.xxhash64(key, F.lit(7))
+    return F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS)).cast("int"), h.bitwiseAND(63).cast("int")
+
+
+def bitmap(keys: DataFrame, column: str) -> DataFrame:
+    """A bit for each hashed key: ``q_word, q_bits`` with at most ``BITMAP_WORDS`` rows."""
+    word, bit = _place(F.col(column))
+    return keys.groupBy(word.alias("q_word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("q_bits"))
+
+
+def may_hold(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """``df`` with column ``MAYBE``: false only for keys that are surely not in the bitmap. A filter before an exact join."""
+    word, bit = _place(F.col(column))
+    with_word = df.withColumn("q_word", word).join(F.broadcast(bits), "q_word", "left")
+    hit = F.call_function("shiftright", F.col("q_bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+    return with_word.withColumn(MAYBE, F.coalesce(hit, F.lit(False))).drop("q_word", "q_bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import drop, slices, texts, written
+from quercus.llm.common import MAYBE, bitmap, drop, may_hold, slices, texts, written
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 CROWDED = 256  # nodes of a bucket that is dealt out again
@@ -251,3 +251,17 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, crowded:
     least = of.groupBy("root").agg(F.min("least").alias("component_id"))
     named = of.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which the id names their component, once per id; rows with a null id all stay.
+
+    Only rows that may be dropped, or whose id may occur again, are shuffled.
+    """
+    near = written(near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col=id_col, text_col=text_col), "simhash-result")
+    gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
+    again = near.groupBy(F.col(id_col).alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone")
+    known = may_hold(docs, id_col, written(bitmap(gone.union(again), "gone"), "simhash-bits"))
+    sure = known.where(~F.col(MAYBE) | F.col(id_col).isNull()).drop(MAYBE)
+    rest = known.where(F.col(MAYBE) & F.col(id_col).isNotNull()).drop(MAYBE)
+    return sure.union(rest.join(gone, F.col(id_col) == F.col("gone"), "left_anti").dropDuplicates([id_col]))
