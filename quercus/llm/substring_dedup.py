@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quercus.llm.common import MAYBE, bitmap, may_hold, slices, texts, written
 from quercus.llm.simhash import xxh64
@@ -152,9 +153,7 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
                 cols = [pa.array([x[0] for x in found], part.schema.field(n).type) if n == text_col else part.column(n) for n in names]
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], [*names, own["n"], own["k"], own["b"]])
 
-    schema = docs.schema
-    for x in ("n", "k", "b"):
-        schema = schema.add(own[x], "long")
+    schema = StructType([*docs.schema.fields, *(StructField(own[x], LongType()) for x in ("n", "k", "b"))])
     return with_dup.union(without).mapInArrow(clean, schema)
 
 
