@@ -10,54 +10,73 @@ their first line. Built of DataFrame functions alone.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus.llm.common import MAYBE, bitmap, may_hold, written
 
 MIN_TOKENS, MIN_DOCS, DEPTH, STAY = 5, 3, 3, 0.6
 ANY = "<*>"
-
-
-def _tokens(line: Column) -> Column:
-    plain = F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
-    return F.split(F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", F.lit(ANY)), " ")
+WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    t = lines.select("id", "pos", _tokens(F.col("line")).alias("t")).where(F.size("t") >= MIN_TOKENS)
-    head = [F.col("t")[i] for i in range(DEPTH)]
-    return t.select("id", "pos", "t", F.xxhash64(F.size("t"), *head).alias("leaf"), F.xxhash64("t").alias("own"))
+    """``id, pos, line, leaf, own`` of each line with enough tokens; ``line`` is generalised, one space between tokens.
+
+    The costly replacements run only on texts and lines that need them.
+    """
+    text = F.col(text_col)
+    other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    plain = F.when(other, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)
+    lines = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(plain, "\n")).alias("pos", "line"))
+    lines = lines.withColumn("line", F.trim("line"))
+    size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
+    general = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", WITH_DIGIT, F.lit(ANY))).otherwise(F.col("line"))
+    lines = lines.where(size >= MIN_TOKENS).select("id", "pos", general.alias("line"), size.alias("n"))
+    return lines.select("id", "pos", "line", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("own"))
 
 
 def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``leaf, own, tmpl`` of each different line of the leaves that have several."""
+    """``leaf, own, tmpl`` of each different line of the leaves that belongs to a generalised template.
+
+    Tokens are counted per place; a place keeps its most frequent token (two, where they share it equally)
+    if half of the lines have it. Only leaves that keep enough places meet their lines again.
+    """
     bits = written(bitmap(leaves, "leaf"), "line-leaf-bits")
-    lines = may_hold(_lines(docs, id_col, text_col), "leaf", bits).where(MAYBE)
-    lines = lines.join(leaves, "leaf", "left_semi").groupBy("leaf", "own").agg(F.first("t").alias("t"))
-    lines = written(lines, "line-different")
-    total = lines.groupBy("leaf").agg(F.count("*").alias("total"))
-    tokens = lines.select("leaf", "own", F.size("t").alias("n"), F.posexplode("t").alias("i", "token"))
-    common = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("k")).join(total, "leaf").where("2 * k >= total")
-    kept = tokens.join(common, ["leaf", "i", "token"]).groupBy("leaf", "own").agg(
-        F.array_sort(F.collect_list(F.struct("i", "token"))).alias("kept"), F.first("n").alias("n")
-    )
-    return kept.where(F.size("kept") >= F.ceil(F.col("n") * STAY)).select("leaf", "own", F.xxhash64("leaf", "kept").alias("tmpl"))
+    lines = may_hold(_lines(docs, id_col, text_col), "leaf", bits).where(MAYBE).groupBy("leaf", "own").agg(F.min("line").alias("line"))
+    lines = written(lines.join(leaves, "leaf", "left_semi"), "line-different")
+    tokens = lines.select("leaf", F.posexplode(F.split("line", " ")).alias("i", "token")).select("leaf", "i", F.xxhash64("token").alias("token"))
+    count = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("k"))
+    place = count.groupBy("leaf", "i").agg(F.sum("k").alias("total"), F.max(F.struct("k", "token")).alias("hi"), F.min(F.struct(-F.col("k"), "token")).alias("lo"))
+    half = 2 * F.col("hi.k") >= F.col("total")
+    place = place.select("leaf", "i", F.when(half, F.col("hi.token")).alias("a"), F.when(half, F.col("lo.token")).alias("b"))
+    whole = place.groupBy("leaf").agg(F.count("*").alias("n"), F.count("a").alias("common"), F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("places"))
+    whole = written(whole.where(F.col("common") >= F.ceil(F.col("n") * STAY)), "line-places")
+    kept = F.zip_with(F.split("line", " "), "places", lambda x, p: F.when((F.xxhash64(x) == p["a"]) | (F.xxhash64(x) == p["b"]), F.xxhash64(x)))
+    kept = lines.join(whole, "leaf").select("leaf", "own", "n", kept.alias("kept"))
+    enough = F.size(F.filter("kept", lambda x: x.isNotNull())) >= F.ceil(F.col("n") * STAY)
+    return kept.where(enough).select("leaf", "own", F.xxhash64("leaf", F.transform("kept", lambda x: F.coalesce(x, F.lit(0)))).alias("tmpl"))
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, drop``: the places (from 0) of the lines to drop, for documents that have some."""
+    """``id, drop``: the places (from 0) of the lines to drop, for documents that have some.
+
+    A template recurs only if its leaf is in ``min_docs`` documents. In a leaf of two different lines each
+    token is in half of them, so each line is a template of its own: only leaves of three or more are generalised.
+    """
     rows = written(_lines(docs, id_col, text_col).select("id", "pos", "leaf", "own"), "lines")
-    leaf = rows.groupBy("leaf").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.min("own").alias("c"), F.max("own").alias("d"))
-    leaf = written(leaf.where("a < b").select("leaf", (F.col("c") < F.col("d")).alias("several")), "line-leaves")
+    pairs = rows.groupBy("leaf").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b or %d < 2" % min_docs)
+    near = may_hold(rows, "leaf", written(bitmap(pairs, "leaf"), "line-pair-bits")).where(MAYBE).drop(MAYBE)
+    leaf = near.groupBy("leaf").agg(F.countDistinct("id").alias("docs"), F.countDistinct("own").alias("lines")).where(F.col("docs") >= min_docs)
+    leaf = written(leaf.select("leaf", (F.col("lines") > 2).alias("several")), "line-leaves")
     tmpl = written(_templates(docs, leaf.where("several").select("leaf"), id_col, text_col), "line-templates")
     rows = may_hold(rows, "leaf", written(bitmap(leaf, "leaf"), "line-bits")).where(MAYBE).drop(MAYBE)
     rows = rows.join(tmpl, ["leaf", "own"], "left").select("id", "pos", F.coalesce("tmpl", F.xxhash64("leaf", "own")).alias("tmpl"))
     rows = written(rows, "line-rows")
     once = rows.groupBy("tmpl", "id").agg(F.min("pos").alias("pos"))
     many = once.groupBy("tmpl").agg(F.count("*").alias("n"), F.min(F.struct("id", "pos")).alias("first")).where(F.col("n") >= min_docs)
-    drop = rows.join(many, "tmpl").where((F.col("id") != F.col("first.id")) | (F.col("pos") != F.col("first.pos")))
+    many = written(many.select("tmpl", F.col("first.id").alias("first_id"), F.col("first.pos").alias("first_pos")), "line-many")
+    drop = rows.join(many, "tmpl").where((F.col("id") != F.col("first_id")) | (F.col("pos") != F.col("first_pos")))
     return written(drop.groupBy("id").agg(F.collect_set("pos").alias("drop")), "line-drop")
 
 
