@@ -98,7 +98,8 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", tex
     lines, dropped, key, where = new
     known = may_hold(docs, id_col, written(bitmap(drop, "id"), "line-doc-bits"))
     parts = F.split(text_col, "\n")
-    hit = known.where(MAYBE).join(drop.withColumnsRenamed({"id": key, "drop": where}), F.col(id_col) == F.col(key), "left")
+    # the lists grow with the input: a merge join at every size, never a broadcast that happens to fit
+    hit = known.where(MAYBE).join(drop.withColumnsRenamed({"id": key, "drop": where}).hint("merge"), F.col(id_col) == F.col(key), "left")
     hit = hit.withColumn(lines, F.size(parts).cast("long")).withColumn(dropped, F.coalesce(F.size(where), F.lit(0)).cast("long"))
     left = F.array_join(F.filter(parts, lambda x, i: ~F.coalesce(F.array_contains(F.col(where), i), F.lit(False))), "\n")
     rest = known.where(~F.col(MAYBE)).withColumn(lines, F.size(parts).cast("long")).withColumn(dropped, F.lit(0).cast("long"))
