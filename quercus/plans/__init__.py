@@ -1 +1,5 @@
-"""quercus.plans."""
+"""Named queries; :func:`load` registers all of them."""
+
+
+def load() -> None:
+    from quercus.plans import tables  # noqa: F401
