@@ -13,6 +13,74 @@ from pyspark.sql import functions as F
 from quercus.plans.staging import staged
 
 MOST = 10_000  # rounds of a loop; only a longer shortest path would need more
+SMALL = 20_000  # a graph of at most so many edges is solved on the driver; larger ones by the distributed loops
+
+
+def _local(edges: DataFrame, most: int | None = None) -> dict | None:
+    """Successors of each node if the graph is small, else None."""
+    most = SMALL if most is None else most
+    rows = edges.select("src", "dst").distinct().limit(most + 1).collect()  # the checked bound
+    if len(rows) > most:
+        return None
+    out: dict = {}
+    for a, b in rows:
+        out.setdefault(a, []).append(b)
+        out.setdefault(b, [])
+    return out
+
+
+def _frame(edges: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
+    """Rows as a DataFrame; all columns have the type of the nodes."""
+    kind = edges.schema["src"].dataType.simpleString()
+    schema = ", ".join(f"{n} {kind}" for n in names)
+    return edges.sparkSession.createDataFrame(rows, schema)
+
+
+def _reach(adj: dict, start, without: set | frozenset = frozenset()) -> set:
+    seen, todo = {start}, [start]
+    while todo:
+        for x in adj.get(todo.pop(), ()):
+            if x not in seen and x not in without:
+                seen.add(x)
+                todo.append(x)
+    return seen
+
+
+def _finish_order(adj: dict) -> list:
+    """Nodes in the order in which a depth-first search leaves them."""
+    seen, out = set(), []
+    for v in sorted(adj):
+        stack = [] if v in seen else [(v, iter(adj[v]))]
+        seen.add(v)
+        while stack:
+            node, rest = stack[-1]
+            nxt = next((x for x in rest if x not in seen), None)
+            if nxt is None:
+                out.append(node)
+                stack.pop()
+            else:
+                seen.add(nxt)
+                stack.append((nxt, iter(adj[nxt])))
+    return out
+
+
+def _turned(adj: dict) -> dict:
+    back: dict = {v: [] for v in adj}
+    for a, bs in adj.items():
+        for b in bs:
+            back[b].append(a)
+    return back
+
+
+def _sccs(adj: dict) -> list[set]:
+    """Two passes: leave order forwards, then reach backwards from the last left."""
+    back, done, out = _turned(adj), set(), []
+    for v in reversed(_finish_order(adj)):
+        if v not in done:
+            own = _reach(back, v, done)
+            done |= own
+            out.append(own)
+    return out
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -40,6 +108,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
     """``seed, node``: what each seed (column ``node``) reaches, itself included; breadth first, only new pairs go on."""
+    if (adj := _local(edges)) is not None and len(some := seeds.select("node").distinct().limit(1001).collect()) <= 1000:
+        adj = _turned(adj) if reverse else adj
+        return _frame(edges, [(r.node, x) for r in some for x in _reach(adj, r.node)], "seed", "node")
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
     front = staged(seeds.select(F.col("node").alias("seed"), "node").distinct())
@@ -55,6 +126,8 @@ def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> Data
 
 def closure(edges: DataFrame) -> DataFrame:
     """Reflexive and transitive closure, by doubling the path length each round."""
+    if (adj := _local(edges, 2000)) is not None:
+        return _frame(edges, [(v, x) for v in adj for x in _reach(adj, v)], "src", "dst")
     own = nodes(edges)
     pairs = staged(edges.select("src", "dst").union(own.select("node", "node")).distinct())
     count = pairs.count()
@@ -70,6 +143,14 @@ def closure(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: weakly connected components, by the smallest node."""
     both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    if (adj := _local(both)) is not None:
+        rows, done = [], set()
+        for v in sorted(adj):
+            if v not in done:
+                own = _reach(adj, v)
+                done |= own
+                rows += [(x, v) for x in own]
+        return _frame(edges, rows, "node", "label")
     return _least(nodes(edges).select("node", F.col("node").alias("label")), staged(both))
 
 
@@ -92,6 +173,8 @@ def scc(edges: DataFrame) -> DataFrame:
     Colouring: each node takes the smallest node that reaches it; what reaches that root within its colour is
     the root's component. Components found are set aside and the rest is coloured again.
     """
+    if (adj := _local(edges)) is not None:
+        return _frame(edges, [(x, min(own)) for own in _sccs(adj) for x in own], "node", "scc")
     left_edges = staged(edges.where("src <> dst").select("src", "dst").distinct())
     left = staged(nodes(edges))
     found = None
@@ -137,6 +220,14 @@ def cyclic(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, own: DataFrame) -> DataFrame:
     """``node, level`` of an acyclic graph, callees first: 0 without callees, else one more than the highest callee."""
+    if (adj := _local(edges)) is not None and len(some := own.select("node").distinct().limit(SMALL + 1).collect()) <= SMALL:
+        level: dict = {}
+        for v in _finish_order(adj):
+            if any(x not in level for x in adj[v]):
+                raise ValueError("the graph has a cycle")
+            level[v] = 1 + max((level[x] for x in adj[v]), default=-1)
+        kind = own.schema["node"].dataType.simpleString()
+        return own.sparkSession.createDataFrame([(r.node, level.get(r.node, 0)) for r in some], f"node {kind}, level int")
     left, left_edges = staged(own.select("node").distinct()), staged(edges.select("src", "dst").distinct())
     out = None
     for level in range(MOST):

@@ -393,7 +393,7 @@ def identifier_functions(spark, sf_dir):
 
 _TRADE_SQL = """t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
                       JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
-    m AS (SELECT src, max(n) AS most FROM t GROUP BY src), e AS (SELECT src, dst, n FROM t JOIN m USING (src) WHERE 10 * n > 9 * most),
+    m AS (SELECT src, max(n) AS most FROM t GROUP BY src), e AS (SELECT src, dst, n FROM t JOIN m USING (src) WHERE 5 * n > 3 * most),
     v AS (SELECT src AS node FROM e UNION SELECT dst FROM e)"""
 _CLOSURE = "c AS (SELECT node AS a, node AS b FROM v UNION SELECT c.a, e.dst FROM c JOIN e ON c.b = e.src)"
 _SCC = "s AS (SELECT x.a AS node, min(x.b) AS scc FROM c x JOIN c y ON x.a = y.b AND x.b = y.a GROUP BY x.a)"
@@ -405,7 +405,7 @@ def trade_edges(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src")), table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("dst"))
     t = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
     t = t.join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    return staged(t.withColumn("most", F.max("n").over(Window.partitionBy("src"))).where(10 * F.col("n") > 9 * F.col("most")).select("src", "dst", "n"), "trade")
+    return staged(t.withColumn("most", F.max("n").over(Window.partitionBy("src"))).where(5 * F.col("n") > 3 * F.col("most")).select("src", "dst", "n"), "trade")
 
 
 @query("graph_closure", f"WITH RECURSIVE {_TRADE_SQL}, {_CLOSURE} SELECT a AS src, b AS dst FROM c")
