@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quercus.operators import graph
-from quercus.operators.lookup import outermost
 from quercus.operators.pattern import Collector, Context, FunApply, collect
 from quercus.plans.staging import staged
 from quercus.sources.parser import Node
@@ -265,5 +264,3 @@ def run_all(s: Stages, inspectors: list[tuple[str, Callable[[Stages], DataFrame]
     parts = [f(s).select(F.lit(name).alias("inspector"), F.to_json(F.struct("*")).alias("message")) for name, f in inspectors]
     return reduce(DataFrame.unionByName, parts)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["outermost"]

@@ -253,7 +253,14 @@ def generalise(body: list[Node], pairs: list[list[tuple[Node, Node]]], name: str
 
 
 def parse_annotated(code: str) -> list[Node]:
-    """Expressions of a code string with categories and bindings."""
+    """Expressions of a code string with categories and bindings; those of a sequence share their variables."""
+    from quercus.sources.parser import parse_forms
+    from quercus.trees.annotate import annotate
+
+    forms, errors = parse_forms(f"q_main() ->\n{code}\n.")
+    if not errors and len(forms) == 1 and forms[0].type == "function" and len(forms[0].groups[1]) == 1:
+        annotate(forms)
+        return forms[0].groups[1][0].groups[2]
     nodes = template(code)
     for n in nodes:
         categories(n)
