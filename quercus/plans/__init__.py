@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from quercus.plans import tables  # noqa: F401
+    from quercus.plans import code, tables  # noqa: F401
