@@ -32,8 +32,10 @@ def read_files(spark: SparkSession, paths: str | list[str], extension: str = "er
     """Each file below ``paths`` with the extension once, whole; missing and corrupt files are passed over."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{extension}").option("wholetext", True)
     reader = reader.option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-    df = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
-    return _complete(df.dropDuplicates(["path"]))
+    given = {p.rstrip("/") or "/" for p in ([paths] if isinstance(paths, str) else paths)}
+    roots = sorted(p for p in given if not any(p != q and p.startswith(q.rstrip("/") + "/") for q in given))  # a file is below one root only
+    df = reader.format("text").load(roots).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    return _complete(df)
 
 
 def from_strings(spark: SparkSession, files: dict[str, str]) -> DataFrame:
