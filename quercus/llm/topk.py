@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from quercus.llm.common import arrow_rows, written
 
-BUCKET, BLOCK, FOCUS, COORDINATES = 2048, 512, 4, 0.6
+BUCKET, BLOCK, FOCUS, COORDINATES, SALTS = 2048, 512, 4, 0.6, 64
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -59,7 +59,7 @@ def search(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, cid: np.ndarray, c
         s = products(q[rows], c[keep])
         own = qid[rows][:, None] == cid[keep][None, :]
         ok = (s >= bound[rows][:, None]) & ~own
-        if s.shape[1] > k:  # each query keeps what equals or beats its k-th score here
+        if s.shape[1] > k and len(np.unique(cid[keep])) == len(keep):  # each query keeps what equals or beats its k-th score here
             t = np.where(own, np.iinfo(np.int64).min, s)
             ok &= s >= np.partition(t, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
         i, j = np.nonzero(ok)
@@ -116,8 +116,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Components are floor(scale * x). A row is no candidate of a query with its id; ties go to the smaller
     id. Vectors that are null, or hold null or non-finite components, take no part; only vectors of one
-    dimension meet. Rows with one id and different vectors are candidates each; rows repeated in full are
-    one. Fewer than k candidates: all of them. Empty tables give no rows; other columns are ignored.
+    dimension meet. The score of two ids is the best of their rows, if an id has several. Fewer than k candidates: all of them. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     all_ = quantised(vectors, id_col, vec_col, scale).where("id is not null").distinct()
@@ -138,16 +137,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 q, c = (np.frombuffer(r[x], "<i8").reshape(m, r["dim"]) for x, m in (("vs", len(qid)), ("cvs", len(cid))))
                 s = products(q, c)
                 s[qid[:, None] == cid[None, :]] = LEAST
+                again = np.ones(len(cid), bool)
+                again[np.unique(cid, return_index=True)[1]] = False
+                s[:, again] = LEAST  # the bound counts each id once
                 low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(qid), LEAST)
-                rows.append((r["block"], r["dim"], r["norm"], r["ids"], r["vs"], low.astype("<i8").tobytes()))
+                length = np.sqrt((q.astype(float) ** 2).sum(1))
+                need = np.where((low > LEAST) & (length > 0), low / np.maximum(length, 1e-300), -np.inf).min(initial=np.inf)
+                rows.append((r["block"], r["dim"], float(need), r["ids"], r["vs"], low.astype("<i8").tobytes()))
             cols = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "dim", "norm", "ids", "vs", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "dim", "need", "ids", "vs", "low"])
 
     if seed.count() <= 16:  # a bucket each: at most 16 * BUCKET vectors
         seed = F.broadcast(seed)
     met = blocks.join(seed, "dim").select("block", "dim", "norm", "ids", "vs", "cids", "cvs")
     with arrow_rows(spark, 8):
-        known = written(met.mapInArrow(bounds, "block long, dim int, norm double, ids binary, vs binary, low binary"), "topk-bounds")
+        known = written(met.mapInArrow(bounds, "block long, dim int, need double, ids binary, vs binary, low binary"), "topk-bounds")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,9 +164,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
             cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
 
-    # each query block meets each bucket of its dimension once: the block is repeated per bucket it may need
-    names = buckets.groupBy("dim").agg(F.collect_list(F.struct("bucket", F.col("norm").alias("cnorm"))).alias("b"))
-    asked = known.join(names, "dim").select("dim", "ids", "vs", "low", F.inline("b"))
+    # each query block meets each bucket of its dimension that is long enough for one of its queries, once; the
+    # pairs are made of names alone, dealt by salt, and the vectors follow
+    names = buckets.select("dim", "bucket", F.col("norm").alias("longest"), F.pmod("bucket", F.lit(SALTS)).alias("salt"))
+    asked = known.select("dim", "block", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    pairs = asked.join(names, ["dim", "salt"]).where(F.col("longest") >= F.col("need") - 1e-6 * (1 + F.abs("need"))).select("block", "bucket")
+    asked = pairs.join(known.drop("need"), "block")
     met = asked.join(buckets.select("bucket", F.col("ids").alias("cids"), F.col("vs").alias("cvs")), "bucket")
     met = met.select("dim", "ids", "vs", "low", "cids", "cvs")
     with arrow_rows(spark, 8):

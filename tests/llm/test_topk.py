@@ -13,7 +13,11 @@ def brute(rows, queries, k):
     out = []
     for q, v in ok:
         if q in queries:
-            s = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in ok if i != q and len(w) == len(v))
+            best = {}
+            for i, w in ok:
+                if i != q and len(w) == len(v):
+                    best[i] = max(best.get(i, -math.inf), sum(a * b for a, b in zip(v, w, strict=True)))
+            s = sorted((-x, i) for i, x in best.items())
             out += [(q, r + 1, i, -x) for r, (x, i) in enumerate(s[:k])]
     return sorted(out)
 
@@ -27,7 +31,7 @@ def test_brute_force(spark, scale, monkeypatch):
     for i in range(220):
         v = [rnd.gauss(0, 1) * scale * 10 ** rnd.uniform(-2, 0) for _ in range(6)]
         rows.append((i, v if i % 7 else [round(x) * 1.0 for x in v]))
-    rows += [(300 + i, rows[5][1]) for i in range(9)] + [(400, None), (401, [None] * 6), (402, [math.nan] * 6), (403, [math.inf] * 6), (404, [0.0] * 6), (405, [1.0, 2.0]), (450, [3.0, -2.0]), (None, [1.0] * 6), (5, rows[5][1]), (500, []), (550, [])]
+    rows += [(300 + i, rows[5][1]) for i in range(9)] + [(400, None), (401, [None] * 6), (402, [math.nan] * 6), (403, [math.inf] * 6), (404, [0.0] * 6), (405, [1.0, 2.0]), (450, [3.0, -2.0]), (None, [1.0] * 6), (5, rows[5][1]), (33, [scale * 3.0] * 6), (44, [scale * 2.5] * 6), (500, []), (550, [])]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string")
     queries = {i for i, _ in rows if i is not None and i % 10 == 0} | {404, 405}
     got = t.top_k(df, df.where(df.vec_id.isin(sorted(queries))))
