@@ -89,8 +89,8 @@ def xxh64(buf: np.ndarray, start: np.ndarray, size: np.ndarray, seed: int = 42)
     return out
 
 
-def simhashes(rows: list[str | None], shingle: int = 3) -> np.ndarray:
-    """64-bit fingerprints of whole texts; no words: zero."""
+def shingles(rows: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The number of shingles of each text and the hashes of all in a row; no words: none, fewer words than a shingle: one."""
     docs = [(t or "").encode().lower().split() for t in rows]
     n = np.fromiter(map(len, docs), np.int64, len(docs))
     words = [w for d in docs for w in d]
@@ -102,13 +102,17 @@ def simhashes(rows: list[str | None], shingle: int = 3) -> np.ndarray:
     offset = np.cumsum(count) - count
     word = np.repeat(first - offset, count) + np.arange(int(count.sum()))
     last = word + np.repeat(np.minimum(n, shingle), count) - 1
-    h = xxh64(buf, start[word], start[last] + size[last] - start[word])
-    out = np.zeros(len(docs), np.uint64)
-    some = np.flatnonzero(count)
-    if not len(some):
+    return count, xxh64(buf, start[word], start[last] + size[last] - start[word])
+
+
+def simhashes(rows: list[str | None], shingle: int = 3) -> np.ndarray:
+    """64-bit fingerprints of whole texts; no words: zero."""
+    count, h = shingles(rows, shingle)
+    out = np.zeros(len(rows), np.uint64)
+    if not len(h):
         return out
-    total = np.zeros((len(docs), 64), np.int64)
-    owner = np.repeat(np.arange(len(docs)), count)
+    total = np.zeros((len(rows), 64), np.int64)
+    owner = np.repeat(np.arange(len(rows)), count)
     step = 1 << 15
     for a in range(0, len(h), step):
         part, of = h[a : a + step], owner[a : a + step]
@@ -254,11 +258,16 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, crowded:
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which the id names their component, once per id; rows with a null id all stay.
+    """The rows of ``docs`` of which the id names their component, once per id; rows with a null id all stay."""
+    return kept(docs, near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col=id_col, text_col=text_col), id_col)
+
+
+def kept(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that components (``id_col, component_id``) keep.
 
     Only rows that may be dropped, or whose id may occur again, are shuffled.
     """
-    near = written(near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col=id_col, text_col=text_col), "simhash-result")
+    near = written(near, "simhash-result")
     gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
     again = near.groupBy(F.col(id_col).alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone")
     known = may_hold(docs, id_col, written(bitmap(gone.union(again), "gone"), "simhash-bits"))
