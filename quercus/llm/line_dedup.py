@@ -18,11 +18,15 @@ from quercus.llm.common import MAYBE, bitmap, may_hold, written
 MIN_TOKENS, MIN_DOCS, DEPTH, STAY = 5, 3, 3, 0.6
 ANY = "<*>"
 WITH_DIGIT = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
+NO_DIGIT = r"(?<![^ ])[^ 0-9]++(?![^ ])"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _lines(docs: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """``id, pos, line, leaf, own`` of each line with enough tokens; ``line`` is generalised, one space between tokens.
 
+    With ``short``, lines of fewer tokens are there too, but for blank ones: each text is its own leaf, and it is left
+    exact where every token holds a digit, as nothing else would remain (numbers, URLs, text without spaces).
+
     The costly replacements run only on texts and lines that need them.
     """
     text = F.col(text_col)
@@ -32,18 +36,23 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     lines = lines.withColumn("line", F.trim("line"))
     size = F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "))) + 1
     general = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", WITH_DIGIT, F.lit(ANY))).otherwise(F.col("line"))
-    lines = lines.where(size >= MIN_TOKENS).select("id", "pos", general.alias("line"), size.alias("n"))
-    return lines.select("id", "pos", "line", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line").alias("own"))
+    leaf = F.xxhash64("n", F.substring_index("line", " ", DEPTH))
+    if short:
+        few = size < MIN_TOKENS
+        general = F.when(few & ~F.col("line").rlike(NO_DIGIT), F.col("line")).otherwise(general)
+        leaf = F.when(F.col("n") < MIN_TOKENS, F.xxhash64("line", "n")).otherwise(leaf)
+    lines = lines.where(F.col("line") != "" if short else size >= MIN_TOKENS).select("id", "pos", general.alias("line"), size.alias("n"))
+    return lines.select("id", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("own"))
 
 
-def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
     """``leaf, own, tmpl`` of each different line of the leaves that belongs to a generalised template.
 
     Tokens are counted per place; a place keeps its most frequent token (two, where they share it equally)
     if half of the lines have it. Only leaves that keep enough places meet their lines again.
     """
     bits = written(bitmap(leaves, "leaf"), "line-leaf-bits")
-    lines = may_hold(_lines(docs, id_col, text_col), "leaf", bits).where(MAYBE).groupBy("leaf", "own").agg(F.min("line").alias("line"))
+    lines = may_hold(_lines(docs, id_col, text_col, short), "leaf", bits).where(MAYBE).groupBy("leaf", "own").agg(F.min("line").alias("line"))
     lines = written(lines.join(leaves, "leaf", "left_semi"), "line-different")
     tokens = lines.select("leaf", F.posexplode(F.split("line", " ")).alias("i", "token")).select("leaf", "i", F.xxhash64("token").alias("token"))
     count = tokens.groupBy("leaf", "i", "token").agg(F.count("*").alias("k"))
@@ -58,18 +67,18 @@ def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str) -
     return kept.where(enough).select("leaf", "own", F.xxhash64("leaf", F.transform("kept", lambda x: F.coalesce(x, F.lit(0)))).alias("tmpl"))
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """``id, drop``: the places (from 0) of the lines to drop, for documents that have some.
 
     A template recurs only if its leaf is in ``min_docs`` documents. In a leaf of two different lines each
     token is in half of them, so each line is a template of its own: only leaves of three or more are generalised.
     """
-    rows = written(_lines(docs, id_col, text_col).select("id", "pos", "leaf", "own"), "lines")
+    rows = written(_lines(docs, id_col, text_col, short).select("id", "pos", "leaf", "own"), "lines")
     pairs = rows.groupBy("leaf").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b or %d < 2" % min_docs)
     near = may_hold(rows, "leaf", written(bitmap(pairs, "leaf"), "line-pair-bits")).where(MAYBE).drop(MAYBE)
     leaf = near.groupBy("leaf").agg(F.countDistinct("id").alias("docs"), F.countDistinct("own").alias("lines")).where(F.col("docs") >= min_docs)
     leaf = written(leaf.select("leaf", (F.col("lines") > 2).alias("several")), "line-leaves")
-    tmpl = written(_templates(docs, leaf.where("several").select("leaf"), id_col, text_col), "line-templates")
+    tmpl = written(_templates(docs, leaf.where("several").select("leaf"), id_col, text_col, short), "line-templates")
     rows = may_hold(rows, "leaf", written(bitmap(leaf, "leaf"), "line-bits")).where(MAYBE).drop(MAYBE)
     rows = rows.join(tmpl, ["leaf", "own"], "left").select("id", "pos", F.coalesce("tmpl", F.xxhash64("leaf", "own")).alias("tmpl"))
     rows = written(rows, "line-rows")
@@ -80,16 +89,16 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     return written(drop.groupBy("id").agg(F.collect_set("pos").alias("drop")), "line-drop")
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of ``docs`` without the lines of recurring templates, and ``n_lines, dropped_lines``
     (with ``_`` added where such columns are there already).
 
-    Lines of fewer than five tokens stay. Every row stays; a text may become empty. Rows with one id count
+    Lines of fewer than five tokens stay, unless ``short``: then they count by their own text. Every row stays; a text may become empty. Rows with one id count
     as one document and lose the same places; rows with a null id are left alone. A null text stays null
     (null counts), an empty one has one line. An empty table gives no rows.
     """
     names = docs.columns
-    drop = repeated_lines(docs, min_docs, id_col, text_col)
+    drop = repeated_lines(docs, min_docs, id_col, text_col, short)
     new = []
     for n in ("n_lines", "dropped_lines", "line_id", "line_drop"):
         while n in names:
