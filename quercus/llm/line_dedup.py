@@ -45,11 +45,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, short: bool = False) ->
     return lines.select("id", "pos", "line", leaf.alias("leaf"), F.xxhash64("line").alias("own"))
 
 
-def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, short: bool = False) -> DataFrame:
+def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, short: bool = False, tail: bool = False) -> DataFrame:
     """``leaf, own, tmpl`` of each different line of the leaves that belongs to a generalised template.
 
     Tokens are counted per place; a place keeps its most frequent token (two, where they share it equally)
-    if half of the lines have it. Only leaves that keep enough places meet their lines again.
+    if half of the lines have it. Only leaves that keep enough places meet their lines again. With ``tail``, half
+    of the places after the leading ones must be kept too, as those are equal in any leaf.
     """
     bits = written(bitmap(leaves, "leaf"), "line-leaf-bits")
     lines = may_hold(_lines(docs, id_col, text_col, short), "leaf", bits).where(MAYBE).groupBy("leaf", "own").agg(F.min("line").alias("line"))
@@ -60,14 +61,20 @@ def _templates(docs: DataFrame, leaves: DataFrame, id_col: str, text_col: str, s
     half = 2 * F.col("hi.k") >= F.col("total")
     place = place.select("leaf", "i", F.when(half, F.col("hi.token")).alias("a"), F.when(half, F.col("lo.token")).alias("b"))
     whole = place.groupBy("leaf").agg(F.count("*").alias("n"), F.count("a").alias("common"), F.array_sort(F.collect_list(F.struct("i", "a", "b"))).alias("places"))
-    whole = written(whole.where(F.col("common") >= F.ceil(F.col("n") * STAY)), "line-places")
+    whole = whole.where(F.col("common") >= F.ceil(F.col("n") * STAY))
+    if tail:
+        whole = whole.where(2 * (F.col("common") - DEPTH) >= F.col("n") - DEPTH)
+    whole = written(whole, "line-places")
     kept = F.zip_with(F.split("line", " "), "places", lambda x, p: F.when((F.xxhash64(x) == p["a"]) | (F.xxhash64(x) == p["b"]), F.xxhash64(x)))
     kept = lines.join(whole, "leaf").select("leaf", "own", "n", kept.alias("kept"))
-    enough = F.size(F.filter("kept", lambda x: x.isNotNull())) >= F.ceil(F.col("n") * STAY)
+    common = F.size(F.filter("kept", lambda x: x.isNotNull()))
+    enough = common >= F.ceil(F.col("n") * STAY)
+    if tail:
+        enough &= 2 * (common - DEPTH) >= F.col("n") - DEPTH
     return kept.where(enough).select("leaf", "own", F.xxhash64("leaf", F.transform("kept", lambda x: F.coalesce(x, F.lit(0)))).alias("tmpl"))
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, tail: bool = False) -> DataFrame:
     """``id, drop``: the places (from 0) of the lines to drop, for documents that have some.
 
     A template recurs only if its leaf is in ``min_docs`` documents. In a leaf of two different lines each
@@ -78,7 +85,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     near = may_hold(rows, "leaf", written(bitmap(pairs, "leaf"), "line-pair-bits")).where(MAYBE).drop(MAYBE)
     leaf = near.groupBy("leaf").agg(F.countDistinct("id").alias("docs"), F.countDistinct("own").alias("lines")).where(F.col("docs") >= min_docs)
     leaf = written(leaf.select("leaf", (F.col("lines") > 2).alias("several")), "line-leaves")
-    tmpl = written(_templates(docs, leaf.where("several").select("leaf"), id_col, text_col, short), "line-templates")
+    tmpl = written(_templates(docs, leaf.where("several").select("leaf"), id_col, text_col, short, tail), "line-templates")
     rows = may_hold(rows, "leaf", written(bitmap(leaf, "leaf"), "line-bits")).where(MAYBE).drop(MAYBE)
     rows = rows.join(tmpl, ["leaf", "own"], "left").select("id", "pos", F.coalesce("tmpl", F.xxhash64("leaf", "own")).alias("tmpl"))
     rows = written(rows, "line-rows")
@@ -89,16 +96,17 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc
     return written(drop.groupBy("id").agg(F.collect_set("pos").alias("drop")), "line-drop")
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text", short: bool = False, tail: bool = False) -> DataFrame:
     """The rows of ``docs`` without the lines of recurring templates, and ``n_lines, dropped_lines``
     (with ``_`` added where such columns are there already).
 
-    Lines of fewer than five tokens stay, unless ``short``: then they count by their own text. Every row stays; a text may become empty. Rows with one id count
+    Lines of fewer than five tokens stay, unless ``short``: then they count by their own text. With ``tail``, the
+    leading three tokens alone make no template. Every row stays; a text may become empty. Rows with one id count
     as one document and lose the same places; rows with a null id are left alone. A null text stays null
     (null counts), an empty one has one line. An empty table gives no rows.
     """
     names = docs.columns
-    drop = repeated_lines(docs, min_docs, id_col, text_col, short)
+    drop = repeated_lines(docs, min_docs, id_col, text_col, short, tail)
     new = []
     for n in ("n_lines", "dropped_lines", "line_id", "line_drop"):
         while n in names:
