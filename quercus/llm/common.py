@@ -1,12 +1,13 @@
-"""Shared pieces: the scratch folder, written tables, slices of Arrow batches."""
+"""Shared pieces: the scratch folder, written tables, slices of Arrow batches, joins of skewed keys."""
 
 from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +20,13 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode only (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="quercus-")
     return _OWN["dir"]
@@ -73,15 +77,67 @@ def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
         spark.conf.set(key, was)
 
 
+BATCH_BYTES = 1 << 22
+
+
+def bounded(spark: SparkSession) -> None:
+    """Lower the bytes of an Arrow batch to ``BATCH_BYTES`` for this session, as batches of long texts would be large.
+
+    The only session setting that this subpackage leaves changed: batches are made when a result is used.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key)).rstrip("b")
+    if not (now.isdigit() and 0 < int(now) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id`` and ``text`` alone; Arrow batches of texts are kept to 1000 rows, as long texts make large batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= 1000:
-        conf.set(key, "1000")
+    """``id`` and ``text`` alone, with Arrow batches of a bounded size."""
+    bounded(df.sparkSession)
     return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
 
 
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, giving memory back at its end: workers stay for later tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        with contextlib.suppress(Exception):
+            pa.default_memory_pool().release_unused()
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
+HOT = 1 << 12
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``key`` of the rows of ``counts`` that hold more than one row in ``HOT`` of all: fewer than ``HOT`` keys, whatever the input."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return counts.where(F.col(n) > total // HOT).select(key)
+
+
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", left: bool = False) -> DataFrame:
+    """Join of ``rows`` with the one row a key of ``keyed``, which has in column ``n`` (not returned) how many rows it meets.
+
+    Keys with many rows (fewer than ``HOT`` of them, so their broadcast has a proven bound) are joined where
+    their rows are; all others are dealt by key. A row of ``rows`` is read once. With ``left``, rows without a
+    partner stay, with nulls.
+    """
+    keyed = written(keyed, "keyed")
+    hot = written(hot_keys(keyed, key, n), "hot-keys")
+    other = [c for c in keyed.columns if c not in (key, n)]
+    one = F.struct(*other, F.lit(1).alias("q_one"))
+    few = keyed.join(F.broadcast(hot), key).select(key, one.alias("q_hot"))
+    at = rows.join(F.broadcast(few), key, "left")
+    # rows that are done are dealt by salt and meet nothing more
+    at = at.withColumn("q_salt", F.when(F.col("q_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))))
+    cold = keyed.join(F.broadcast(hot), key, "left_anti").select(key, one.alias("q_cold"), F.lit(0).cast("long").alias("q_salt"))
+    met = at.join(cold.hint("merge"), [key, "q_salt"], "left").withColumn("q_found", F.coalesce("q_hot", "q_cold"))
+    return (met if left else met.where("q_found is not null")).select(*rows.columns, *(F.col("q_found")[c].alias(c) for c in other))
+
+
 MAYBE = "q_maybe"
 BITMAP_WORDS = 1 << 17  # rows of a bitmap at the very most, whatever the input: a proven bound for its broadcast
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import MAYBE, bitmap, drop, may_hold, slices, texts, written
+from quercus.llm.common import MAYBE, bitmap, bounded, drop, join_skewed, may_hold, slices, texts, trimmed, written
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 CROWDED = 256  # nodes of a bucket that is dealt out again
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fp)], ["id", "fp"])
 
     src = texts(docs, id_col, text_col)
-    return src.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return src.mapInArrow(trimmed(run), "id long, fp long").withColumnRenamed("id", id_col)
 
 
 def covering(bits: list[int], radius: int) -> list[int]:
@@ -189,8 +189,8 @@ def links(nodes: DataFrame, radius: int = 3, crowded: int = CROWDED) -> DataFram
     """Edges ``u > v`` between different fingerprints (column ``fp``) that connect all pairs within ``radius``.
 
     Level 1 keeps about half of the 64 bits; buckets of more than ``crowded`` nodes go to level 2, where
-    masks over the free bits keep half of them, and so on: at the last level at most 16 bits are free,
-    so a group has 2^16 nodes at the very most.
+    masks over the free bits keep half of them. There, at most 16 bits are free, so a group has 2^16 nodes at
+    the very most; no third level is needed.
     """
     masks = covering(list(range(64)), radius)
     tables = F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(_long(m)).alias("k")) for j, m in enumerate(masks)])
@@ -240,37 +240,94 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, n, component_id, rows, keep_id, keep_node`` of each of ``nodes`` (``node, n, least``: how many rows, smallest id).
+
+    A component has ``rows`` rows; the one that stands for it has the smallest id, and of those the smallest node.
+    """
+    root = components(edges) if not edges.isEmpty() else edges.select("u", F.col("v").alias("root"))
+    of = nodes.join(root, nodes["node"] == root["u"], "left").select("node", "n", F.coalesce("root", "node").alias("root"), "least")
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "node"))
+    by = of.groupBy("root").agg(F.sum("n").alias("rows"), first.alias("k"), F.count("*").alias("nodes"))
+    by = by.select("root", "rows", F.col("k.least").alias("keep_id"), F.col("k.node").alias("keep_node"), "nodes")
+    return written(join_skewed(of, by, "root", "nodes").select("node", "n", F.col("keep_id").alias("component_id"), "rows", "keep_id", "keep_node"), "named")
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fingerprint, component_id``: the smallest id that links of at most ``radius`` bits reach.
 
-    Texts without words (null, empty, white space) have fingerprint zero and link as any other.
-    Repeated rows come out repeated; a null id stays null and never names a component unless all its
-    members' ids are null. Other columns are ignored.
+    Texts without words (null, empty, white space) have fingerprint zero and link as any other. A very long text is
+    hashed whole. Repeated rows come out repeated; a null id stays null and never names a component unless all its
+    members' ids are null. Ties do not matter: a component is a set. Other columns are ignored, whatever their
+    names; an empty table gives no rows.
     """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
-    edges = links(nodes.select("fp"), radius, crowded)
-    root = components(edges) if not edges.isEmpty() else edges.select("u", F.col("v").alias("root"))
-    of = nodes.join(root, nodes["fp"] == root["u"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = _named_fps(fps, radius, crowded, id_col).select(F.col("node").alias("fp"), "n", "component_id")
+    return join_skewed(fps, of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _named_fps(fps: DataFrame, radius: int, crowded: int, id_col: str) -> DataFrame:
+    nodes = written(fps.groupBy(F.col("fp").alias("node")).agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "simhash-nodes")
+    return named(nodes, links(nodes.select(F.col("node").alias("fp")), radius, crowded))
 
 
 def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which the id names their component, once per id; rows with a null id all stay."""
-    return kept(docs, near_duplicates(docs.select(id_col, text_col), radius, shingle, id_col=id_col, text_col=text_col), id_col)
+    """``docs`` with one row of each component: of its smallest id, and of rows with that id of the smallest fingerprint.
+
+    Rows are told apart by their own fingerprints, so rows of one id with unlike texts each have their own group. Rows
+    with a null id stay only where no member of their group has an id. Of rows equal in id and fingerprint the
+    smallest stays, by all columns in their order (maps aside). An empty table gives no rows.
+    """
+    names = docs.columns
+    key = free_name(names, "node")
+
+    @F.arrow_udf("long")
+    def fp(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(run)(columns)
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts_ in columns:
+            batch = pa.RecordBatch.from_arrays([texts_], ["text"])
+            found = [simhashes(part.column("text").to_pylist(), shingle).view(np.int64) for part in slices(batch, "text")]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
+
+    bounded(docs.sparkSession)
+    marked = written(docs.withColumn(key, fp(F.col(text_col))), "simhash-docs")
+    of = _named_fps(marked.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp")), radius, CROWDED, "id")
+    return kept(marked, of, key, id_col).select(names)
+
+
+def free_name(names: list[str], new: str) -> str:
+    while new in names:
+        new += "_"
+    return new
 
 
-def kept(docs: DataFrame, near: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that components (``id_col, component_id``) keep.
+def kept(docs: DataFrame, of: DataFrame, key: str, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` (with their node in column ``key``) that :func:`named` keeps.
 
-    Only rows that may be dropped, or whose id may occur again, are shuffled.
+    Rows whose group has but them stay where they are. Of the others, those that are no group's first go before
+    anything is dealt; only firsts are, and rows that share the bit of a first.
     """
-    near = written(near, "simhash-result")
-    gone = near.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    again = near.groupBy(F.col(id_col).alias("gone")).agg(F.count("*").alias("n")).where("n > 1").select("gone")
-    known = may_hold(docs, id_col, written(bitmap(gone.union(again), "gone"), "simhash-bits"))
-    sure = known.where(~F.col(MAYBE) | F.col(id_col).isNull()).drop(MAYBE)
-    rest = known.where(F.col(MAYBE) & F.col(id_col).isNotNull()).drop(MAYBE)
-    return sure.union(rest.join(gone, F.col(id_col) == F.col("gone"), "left_anti").dropDuplicates([id_col]))
+    several = written(of.where("rows > 1"), "near-several")
+    in_several = may_hold(docs, key, written(bitmap(several, "node"), "near-node-bits"))
+    alone, rest = in_several.where(~F.col(MAYBE)).drop(MAYBE), in_several.where(MAYBE).drop(MAYBE)
+    names = docs.columns
+    first, n = free_name(names, "first"), free_name(names, "n")
+    group = several.select(F.col("node").alias(key), F.col("n").alias(n), F.struct("keep_id", "keep_node").alias(first))
+    # false hits of the bitmap are in no group of several: they meet nothing and stay
+    met = join_skewed(rest, group, key, n, left=True)
+    own = F.col(id_col).cast("long").eqNullSafe(F.col(first)["keep_id"]) & (F.col(key) == F.col(first)["keep_node"])
+    single = met.where(F.col(first).isNull()).select(names)
+    firsts = met.where(own).select(names)
+    return alone.unionByName(single).unionByName(_smallest(firsts, [id_col, key]))
+
+
+def _smallest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of ``keys``, the smallest by all columns; columns that have no order (maps) do not count."""
+    whole = F.struct(*rows.columns)
+    if any("map<" in kind or kind == "variant" for _, kind in rows.dtypes):
+        best = F.min_by(whole, F.struct(*(c for c, kind in rows.dtypes if "map<" not in kind and kind != "variant")))
+    else:
+        best = F.min(whole)
+    return rows.groupBy(*(F.col(k).alias(f"q_key_{i}") for i, k in enumerate(keys))).agg(best.alias("q_row")).select("q_row.*")

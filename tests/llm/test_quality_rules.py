@@ -1,5 +1,8 @@
 import random
 import re
+import subprocess
+import sys
+import tracemalloc
 
 from quercus.llm import quality_rules as q
 
@@ -21,8 +24,8 @@ def brute(text, rules):
     return n, sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(cov), failed, kept
 
 
-def check(texts, rules=q.RepetitionRules()):
-    m = q.measure(texts, rules)
+def check(texts, rules=q.RepetitionRules(), **more):
+    m = q.measure(texts, rules, **more)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     for i, t in enumerate(texts):
         assert tuple(m[k][i] for k in names) == brute(t, rules), repr(t)
@@ -35,7 +38,9 @@ def test_brute_force():
         vocab = ["a", "b", "c*", "<d>", "é"][: rnd.randint(1, 5)] + [f"w{j}" for j in range(rnd.choice([0, 3, 80]))]
         texts.append(rnd.choice(["", "\n"]).join(rnd.choice(vocab) + rnd.choice([" ", "  ", "\n", "\t"]) for _ in range(rnd.randint(0, 90))))
     check(texts)
+    texts += ["averyverylongword shortone averyverylongword\x00 a\x00 a a\x00\x00", "abcdefg abcdefgh abcdefg abcdefgh abcdefg"]
     check(texts, q.RepetitionRules(3, 0.6, 8))
+    check(texts, levels_up_to=0)  # the walk over the text in place of kept levels
 
 
 def test_rejects_what_repeats():
@@ -54,3 +59,32 @@ def test_frame(spark):
     good = q.keep_good(df)
     assert good.schema == df.schema and [r.doc_id for r in good.collect()] == [2]
     assert q.quality_rules(df.limit(0)).count() == 0
+
+
+def test_very_long_text_and_many_repeats():
+    """Rows that repeat a word pair (2 MB), and one text of 20 MB of repeats: memory stays in proportion to the text."""
+    rows = ["ab cd " * 200] * (q.PART // 1200)
+    tracemalloc.start()
+    m = q.measure(rows, q.RepetitionRules())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert set(m["longest_repeat"].tolist()) == {398} and peak < 100e6
+    code = """if True:
+        import resource
+        from quercus.llm import quality_rules as q
+        text = "ab cd ef gh " * (20_000_000 // 12)
+        before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+        m = q.measure([text], q.RepetitionRules())
+        print(m["n_words"][0], m["n_repeat_words"][0], m["longest_repeat"][0], m["kept"][0], (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+    """
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split()
+    n = 20_000_000 // 12 * 4
+    assert out[:4] == [str(n), str(n), str(n - 4), "False"] and int(out[4]) < 900
+
+
+def test_keep_good_judges_rows(spark):
+    clean = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, clean, "a"), (1, "few", "b"), (None, clean, "c"), (2, None, "d"), (2, "", "e"), (1, clean, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    assert sorted((r.doc_id or 0, r.kept) for r in q.keep_good(df).collect()) == [(0, "c"), (1, "a"), (1, "a")]
+    assert q.keep_good(df.limit(0)).count() == 0
