@@ -112,29 +112,30 @@ def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 HOT = 1 << 12
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
+def hot_keys(counts: DataFrame, key: list[str], n: str = "n") -> DataFrame:
     """``key`` of the rows of ``counts`` that hold more than one row in ``HOT`` of all: fewer than ``HOT`` keys, whatever the input."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > total // HOT).select(key)
+    return counts.where(F.col(n) > total // HOT).select(*key)
 
 
-def join_skewed(rows: DataFrame, keyed: DataFrame, key: str, n: str = "n", left: bool = False) -> DataFrame:
+def join_skewed(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str = "n", left: bool = False) -> DataFrame:
     """Join of ``rows`` with the one row a key of ``keyed``, which has in column ``n`` (not returned) how many rows it meets.
 
     Keys with many rows (fewer than ``HOT`` of them, so their broadcast has a proven bound) are joined where
     their rows are; all others are dealt by key. A row of ``rows`` is read once. With ``left``, rows without a
     partner stay, with nulls.
     """
+    key = [key] if isinstance(key, str) else key
     keyed = written(keyed, "keyed")
     hot = written(hot_keys(keyed, key, n), "hot-keys")
-    other = [c for c in keyed.columns if c not in (key, n)]
+    other = [c for c in keyed.columns if c not in (*key, n)]
     one = F.struct(*other, F.lit(1).alias("q_one"))
-    few = keyed.join(F.broadcast(hot), key).select(key, one.alias("q_hot"))
+    few = keyed.join(F.broadcast(hot), key).select(*key, one.alias("q_hot"))
     at = rows.join(F.broadcast(few), key, "left")
     # rows that are done are dealt by salt and meet nothing more
     at = at.withColumn("q_salt", F.when(F.col("q_hot").isNull(), 0).otherwise(1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))))
-    cold = keyed.join(F.broadcast(hot), key, "left_anti").select(key, one.alias("q_cold"), F.lit(0).cast("long").alias("q_salt"))
-    met = at.join(cold.hint("merge"), [key, "q_salt"], "left").withColumn("q_found", F.coalesce("q_hot", "q_cold"))
+    cold = keyed.join(F.broadcast(hot), key, "left_anti").select(*key, one.alias("q_cold"), F.lit(0).cast("long").alias("q_salt"))
+    met = at.join(cold.hint("merge"), [*key, "q_salt"], "left").withColumn("q_found", F.coalesce("q_hot", "q_cold"))
     return (met if left else met.where("q_found is not null")).select(*rows.columns, *(F.col("q_found")[c].alias(c) for c in other))
 
 

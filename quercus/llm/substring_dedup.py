@@ -1,11 +1,14 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A chunk ends after a word if the gear hash of the last eight bytes says so, so
-an insertion moves cuts near it only and equal passages fall into equal chunks.
-Chunks are compared by digest over the whole corpus: the document with the
-smallest id keeps a chunk, and within a document its first place does. Runs of
-duplicate chunks of ``least`` bytes or more are removed; shorter ones stay, as
-common phrases are no repeats. Only digests and ids are shuffled to find the
+A chunk ends after a word if the gear hash of the last eight bytes says so, or
+if that hash is the least within six words either way, so that equal words and
+unlucky passages are cut too. An insertion moves cuts near it only, and equal
+passages fall into equal chunks. Chunks are compared by digest (96 bits) over
+the whole corpus: the document with the smallest id keeps a chunk, and within a
+document its first place does. Runs of duplicate chunks of ``least`` bytes or
+more are removed; shorter ones stay, as common phrases are no repeats: of a
+passage that repeats, what reaches from its ends to the next cut stays too,
+three words on average. Only digests and ids are shuffled to find the
 duplicates; texts meet their duplicate digests only where there are some.
 """
 
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quercus.llm.common import MAYBE, bitmap, may_hold, slices, texts, written
+from quercus.llm.common import MAYBE, bitmap, bounded, join_skewed, may_hold, slices, texts, trimmed, written
 from quercus.llm.simhash import xxh64
 
-EVERY = 6  # words a chunk has on average
+EVERY = 4  # of words, one in so many ends a chunk by its hash
+AROUND = 6  # words either way among which the least hash ends a chunk
 INSIDE = 64  # of long words, one in so many characters ends a chunk
 LONG_WORD = 64  # bytes
 LEAST = 100  # bytes of a run that is removed
+BITS = 1 << 17  # words of the bitmap of shared digests, whatever the input
 
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
 _GEAR[10] = 0  # so eight line feeds between texts leave nothing of the text before in the window
@@ -42,8 +47,19 @@ def gear(buf: np.ndarray) -> np.ndarray:
     return h >> np.uint32(8)
 
 
-def chunks(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a list of texts: the document, start, end and following start (in its text) and the digest of each chunk."""
+def _least_around(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a word's hash (mixed) is less than those of the text's words before and no more than those after, ``AROUND`` each way."""
+    h = h * np.uint32(0x9E3779B1)
+    out = np.ones(len(h), bool)
+    for k in range(1, AROUND + 1):
+        other = doc[k:] != doc[:-k]
+        out[k:] &= (h[k:] < h[:-k]) | other
+        out[:-k] &= (h[:-k] <= h[k:]) | other
+    return out
+
+
+def chunks(docs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of a list of texts: the document, start, end and following start (in its text), digest and check of each chunk."""
     buf = np.frombuffer(_BETWEEN.join(docs) + _BETWEEN, np.uint8)
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     base = np.cumsum(size + len(_BETWEEN)) - size - len(_BETWEEN)
@@ -51,9 +67,9 @@ def chunks(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     begin, end = edge[~space[edge]], edge[space[edge]]
     if not len(begin):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
+        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
     h = gear(buf)
-    cut = h[end - 1] % EVERY == 0
+    cut = (h[end - 1] % EVERY == 0) | _least_around(h[end - 1], np.searchsorted(base, begin, side="right"))
     long = np.flatnonzero(end - begin > LONG_WORD)
     if len(long):  # text without white space is cut inside, between characters
         inside = [begin[long][i] + 1 + np.flatnonzero((h[a : b - 1] % INSIDE == 0) & (buf[a + 1 : b] & 0xC0 != 0x80)) for i, (a, b) in enumerate(zip(begin[long], end[long], strict=True))]
@@ -71,7 +87,8 @@ def chunks(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     tail = np.append(owner[1:] != owner[:-1], True)
     follow[tail] = (base + size)[owner[tail]]
     digest = xxh64(buf, start, stop - start, seed=7)
-    return owner, start - base[owner], stop - base[owner], follow - base[owner], digest
+    check = xxh64(buf, start, stop - start, seed=11).astype(np.uint32)
+    return owner, start - base[owner], stop - base[owner], follow - base[owner], digest, check
 
 
 def _flags(owner: np.ndarray, digest: np.ndarray, dup: list) -> np.ndarray:
@@ -90,7 +107,7 @@ def _flags(owner: np.ndarray, digest: np.ndarray, dup: list) -> np.ndarray:
 def strip(docs: list[str | None], dup: list, least: int = LEAST) -> list[tuple[str | None, int, int, int]]:
     """(text without its duplicate runs, chunks, removed chunks, removed bytes) of each text."""
     raw = [(t or "").encode() for t in docs]
-    owner, start, _, follow, digest = chunks(raw)
+    owner, start, _, follow, digest, _ = chunks(raw)
     flag = _flags(owner, digest, dup)
     n = np.bincount(owner, minlength=len(docs))
     out = [(t, int(k), 0, 0) for t, k in zip(docs, n, strict=True)]
@@ -119,25 +136,32 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
 
     Every row stays; the text of a full copy becomes empty. Rows with one id count as one document: between
     them nothing is removed. A row with a null id loses only what its own text repeats. A null text stays
-    null, an empty one empty. An empty table gives no rows.
+    null, an empty one empty. A very long text is chunked whole, long words inside. An empty table gives no rows.
     """
-    src = texts(docs, id_col, text_col)
+    bounded(docs.sparkSession)
+    src = texts(docs, id_col, text_col).where("id is not null")
+    names_of = "id long, digest long, check int"
 
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def digests(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                owner, *_, digest = chunks([(t or "").encode() for t in part.column("text").to_pylist()])
+                owner, *_, digest, check = chunks([(t or "").encode() for t in part.column("text").to_pylist()])
+                if bits is not None:
+                    hit = (bits[(digest >> np.uint64(6)) % np.uint64(BITS)] >> (digest & np.uint64(63))) & np.uint64(1) == 1
+                    owner, digest, check = owner[hit], digest[hit], check[hit]
                 ids = part.column("id").to_numpy(zero_copy_only=False)
-                order = np.lexsort((digest, owner))
-                o, d = owner[order], digest[order]
-                new = np.append(True, (o[1:] != o[:-1]) | (d[1:] != d[:-1])) if len(o) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[o[new]].astype(np.int64)), pa.array(d[new].view(np.int64))], ["id", "digest"])
-
-    seen = src.where("id is not null").mapInArrow(digests, "id long, digest long")
-    shared = seen.groupBy("digest").agg(F.min("id").alias("owner"), F.max("id").alias("most")).where("owner < most")
-    shared = written(shared.select("digest", "owner"), "chunk-shared")
-    some = written(bitmap(shared, "digest"), "chunk-bits")
-    dup = may_hold(seen, "digest", some).where(MAYBE).join(shared, "digest").where("id > owner")
+                order = np.lexsort((check, digest, owner))
+                o, d, c = owner[order], digest[order], check[order]
+                new = np.append(True, (o[1:] != o[:-1]) | (d[1:] != d[:-1]) | (c[1:] != c[:-1])) if len(o) else np.zeros(0, bool)
+                cols = [pa.array(ids[o[new]].astype(np.int64)), pa.array(d[new].view(np.int64)), pa.array(c[new].view(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "digest", "check"])
+
+    seen = src.mapInArrow(trimmed(digests), names_of)
+    shared = seen.groupBy("digest", "check").agg(F.min("id").alias("owner"), F.max("id").alias("most"), F.count("*").alias("n")).where("owner < most")
+    shared = written(shared.select("digest", "check", "owner", "n"), "chunk-shared")
+    bits = docs.sparkSession.sparkContext.broadcast(_bits(shared))
+    again = src.mapInArrow(trimmed(lambda batches: digests(batches, bits.value)), names_of)
+    dup = join_skewed(again, shared, ["digest", "check"]).where("id > owner")
     dup = written(dup.groupBy("id").agg(F.collect_set("digest").alias("dup")), "chunk-duplicates")
     own = _names(docs)
     known = may_hold(docs, id_col, written(bitmap(dup, "id"), "chunk-doc-bits"))
@@ -154,7 +178,17 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], [*names, own["n"], own["k"], own["b"]])
 
     schema = StructType([*docs.schema.fields, *(StructField(own[x], LongType()) for x in ("n", "k", "b"))])
-    return with_dup.union(without).mapInArrow(clean, schema)
+    return with_dup.union(without).mapInArrow(trimmed(clean), schema)
+
+
+def _bits(shared: DataFrame) -> np.ndarray:
+    """A bit for each shared digest: ``BITS`` numbers, whatever the input. It only spares rows that the exact join would drop."""
+    word = F.pmod(F.shiftrightunsigned("digest", 6), F.lit(BITS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("digest").bitwiseAND(63).cast("int"))
+    found = shared.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # BITS rows at most
+    out = np.zeros(BITS, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
 
 
 def _names(docs: DataFrame) -> dict[str, str]:

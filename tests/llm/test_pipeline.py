@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 from quercus.llm import quality_rules as q
 
 from .test_dedup import brute_dedup, brute_lines, passage
+from .test_near_copies import brute as brute_near
 from .test_quality_rules import brute as brute_quality
-from .test_simhash import brute_components, brute_fp
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -30,12 +30,12 @@ def test_equals_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     kept = [(i, t) for i, t in rows if brute_quality(t, q.RepetitionRules())[-1]]
     kept = brute_lines(kept, 3)
-    comp = brute_components([10**9 if i is None else i for i, _ in kept], [brute_fp(t) for _, t in kept])
+    comp = dict(zip(range(len(kept)), brute_near([(10**9 if i is None else i, t) for i, t in kept], ordered=True), strict=True))
     one, seen = [], set()
-    for (i, t), c in zip(kept, comp, strict=True):
-        if i is None or (i == c and i not in seen):
+    for k, (i, t) in sorted(enumerate(kept), key=lambda x: (x[1][0] is None, x[1][0] or 0, x[0])):
+        if comp[k] not in seen:
             one.append((i, t))
-            seen.add(i)
+            seen.add(comp[k])
     last = brute_dedup(one, 100)
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {(i, len(ids), zlib.crc32(np.asarray(ids[:1024], "<u4").tobytes())) for i, x in last for ids in [t.encode(x, add_special_tokens=False).ids + [0]]}
