@@ -7,7 +7,7 @@ their repeat counts solve a non-negative least squares problem against the
 histogram, the counts are rounded, and what remains is packed greedily. The
 result is a bounded table of rank intervals per length; every piece finds its
 place by its rank among the pieces of its length, which is counted over salted
-groups, so no length gathers in one task.
+groups of a bounded size, so no length gathers in one task.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.llm.bpe import codec
-from quercus.llm.common import slices, texts, written
+from quercus.llm.common import slices, texts, trimmed, written
 
 WINDOW = 1024
-SALTS = 64
+SALTED = 1 << 18  # pieces of a length that are ranked together, about
 BEYOND = 1 << 42  # more pieces of one length than there can be
 
 
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, id
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     src = texts(docs, id_col, text_col)
-    return src.mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", "doc_id")
+    return src.mapInArrow(trimmed(run), "id long, start long, length long, ids_crc32 long, doc_tokens long").withColumnRenamed("id", "doc_id")
 
 
 def combinations(window: int, per_length: int = 8) -> np.ndarray:
@@ -130,24 +130,26 @@ def intervals(found: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
     return np.asarray(sorted(rows), np.int64).reshape(-1, 3)
 
 
-def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, salts: int = SALTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, salted: int = SALTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``: one row per piece.
 
-    A null or empty text is its end id alone. Repeated rows are packed each; null ids stay null;
-    an empty table gives no rows; other columns are ignored.
+    A null or empty text is its end id alone; a very long text is cut into many windows. Repeated rows are packed
+    each; null ids stay null; pieces of one length are alike to the plan, and the order of ids, starts and checksums
+    tells them apart; an empty table gives no rows; other columns are ignored.
     """
-    salt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)).cast("int")
-    cut = written(pieces(docs, path, window, end_id, id_col, text_col).withColumn("salt", salt), "pieces")
-    count = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))  # window * salts rows at most
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    count = written(count.select("length", "salt", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "piece-counts")
+    cut = written(pieces(docs, path, window, end_id, id_col, text_col), "pieces")
     hist = np.zeros(window + 1, np.int64)
-    for r in count.groupBy("length").agg(F.sum("n").alias("n")).collect():  # window rows at most
+    for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # window rows at most
         hist[r.length] = r.n
+    # as many groups of a length as its pieces need: a group stays of one size however many there are
+    salts = F.element_at(F.array(*(F.lit(int(1 + x // salted)) for x in hist)), F.col("length").cast("int") + 1)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    count = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     starts = cut.sparkSession.sparkContext.broadcast(intervals(plan(hist, window)))
     own = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = cut.withColumn("rank", F.row_number().over(own) - 1)
-    ranked = ranked.join(F.broadcast(count.drop("n")), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = ranked.join(written(count, "piece-counts").hint("merge"), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, base, offset = starts.value.T
@@ -158,4 +160,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, salt
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(base[i] + want - key[i]), pa.array(offset[i])], [*names, "sequence_id", "offset"])
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(place, out)
+    return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(trimmed(place), out)

@@ -7,6 +7,7 @@ ranges of digests, a bounded number of them: a cut inside a range is bracketed
 by the range's start (a valid cut, so an upper bound) and by a cut at any byte
 (a lower bound). Only ranges in which the two differ are split further, until
 the bounds meet; then the capacity is the exact optimum over single groups.
+Ranges in which no cut can lie any more are held as one sum.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from quercus.llm.common import written
 
 FIRST = 3  # hex digits of the first ranges
 MOST = 1 << 17  # ranges the driver holds at most
+NULL = "~"  # key of the null text: no digest, after all of them
 SLOTS = 1024  # salted groups per shard for the slots
 
 Range = tuple[str, int, int]  # digest prefix, bytes, groups
@@ -57,30 +59,38 @@ def minimax(ranges: list[Range], split, n_shards: int) -> tuple[int, list[str]]:
     ``split(prefixes)`` gives the ranges that the ranges of these prefixes fall into.
     """
     ranges = sorted(ranges)
+    sums, low = set(), 0  # prefixes of ranges that stand for several; a sum forgets the single groups in it, the bound does not
     while True:
         edges = [0]
         for _, size, _ in ranges:
             edges.append(edges[-1] + size)
         single = [n == 1 for *_, n in ranges] + [True]
         high = _smallest(edges, single, n_shards, True)
-        low = _smallest(edges, single, n_shards, False)
+        low = max(low, _smallest(edges, single, n_shards, False))
         cuts = _cuts(edges, single, high, n_shards, True) or []
         if low == high:
             return high, [ranges[edges.index(c)][0] for c in cuts]
-        first = _cuts(edges, single, low, n_shards, True) or []
         # a cut of any capacity between the bounds lies between the earliest and the latest of both
+        early = _early(edges, low, n_shards)
         late = _cuts(edges, single, high, n_shards, False) or []
-        early = _early(edges, low, n_shards) if len(first) < len(late) else first
-        open_ = set()
-        for a, b in zip(early, late, strict=False):
+        late += [edges[-1]] * (len(early) - len(late))
+        near = set()
+        for a, b in zip(early, late, strict=True):
             i, j = max(0, bisect_right(edges, a) - 1), bisect_right(edges, b)
-            open_.update(k for k in range(i, min(j, len(ranges))) if not single[k])
+            near.update(range(max(0, i - 1), min(j + 1, len(ranges))))
+        open_ = [k for k in near if not single[k] and ranges[k][0] not in sums]
         if not open_:
-            open_ = {k for k in range(len(ranges)) if not single[k]}
+            raise RuntimeError("no range is left to split")
         # ranges of the longest reach first, as many as the driver holds
-        todo = sorted(open_, key=lambda k: -ranges[k][1])[: MOST // 32]
-        names = {ranges[k][0] for k in todo}
-        ranges = sorted([r for r in ranges if r[0] not in names] + split(names))
+        names = {ranges[k][0] for k in sorted(open_, key=lambda k: -ranges[k][1])[: MOST // 256]}
+        held: list[Range] = []
+        for k, r in enumerate(ranges):
+            if k in near or not held or k - 1 in near:
+                held.append(r)
+            else:
+                held[-1] = (held[-1][0], held[-1][1] + r[1], held[-1][2] + r[2])
+                sums.add(held[-1][0])
+        ranges = sorted([r for r in held if r[0] not in names] + split(names))
 
 
 def _early(edges: list[int], capacity: int, n_shards: int) -> list[float]:
@@ -98,14 +108,15 @@ def shard(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col:
 
     Law ``bytes``: no partition of the ordered groups has a smaller largest shard. A null text has no
     bytes (size 1, checksum 0) and forms a group of its own, apart from the empty text. Repeated rows
-    each get a slot; a null id is kept; an empty table gives no rows; other columns are ignored.
+    each get a slot; a null id is kept; a very long text counts whole; of groups of one size none is preferred, as
+    the digests order them; an empty table gives no rows; other columns are ignored.
     """
     text = F.col(text_col)
     skinny = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.encode(text, "UTF-8")), F.lit(0)).cast("long").alias("text_crc32"),
-        F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.sha2(F.lit("null text").cast("binary"), 256)).alias("key"),
+        F.coalesce(F.sha2(F.encode(text, "UTF-8"), 256), F.lit(NULL)).alias("key"),
     )
     skinny = written(skinny, "shard-rows")
     groups = written(skinny.groupBy("key").agg(F.sum("size").alias("bytes")), "shard-groups")

@@ -2,13 +2,16 @@
 
 A host becomes a key with its labels reversed, each ended by a dot; the keys of
 a host and all its subdomains are those with its own key as prefix, which is
-one interval of the sorted order. Rule hosts and pages are sorted together in
-one sweep. At each page the last rule host begun before it names a stack: the
-hosts that were active there, innermost first (a nested family, so the list of
-the rule host's own suffixes). Those whose interval has not ended yet fit the
-page's host; among their paths the longest rule that fits wins. The sweep runs
-over range partitions of (key, page), so a host with many pages is spread, and
-each partition starts with the stack that the ones before it left open.
+one interval of the sorted order. Likewise the paths that a rule fits are one
+interval of the paths below its host. Two sweeps over sorted rows use that: the
+first finds the rule hosts around each page's host, the second, for each of
+them, the rules of that host that are prefixes of the page's path. At each page
+the last mark begun before it names a stack of nested prefixes, innermost last;
+what is on the stack and still a prefix of the page is active there. A stack
+holds lengths, not rules, so it is no longer than the mark that names it. A
+sweep runs over range partitions of (mark, page), so a host or path with many
+pages is spread, and each partition starts with the mark that the ones before
+it left open.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.llm.common import written
+from quercus.llm.common import join_skewed, written
 
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -41,20 +44,29 @@ def rules_frame(spark, rules=RULES) -> DataFrame:
     return spark.createDataFrame(rules, "verdict string, host string, path string")
 
 
-def _hosts(rules: DataFrame) -> DataFrame:
-    """A row per rule host: its key and the stack (rules of the host and of all hosts around it)."""
-    own = rules.where("verdict is not null and host is not null and path is not null").distinct().select(
-        key_of(F.translate("host", UPPER, LOWER)).alias("key"),
-        F.struct(
-            F.length(F.concat("host", "path")).alias("n"), F.length("host").alias("h"), F.concat("host", "path").alias("rule"), (F.col("verdict") == "block").alias("block"), "verdict", "path",
-            key_of(F.translate("host", UPPER, LOWER)).alias("of"),
-        ).alias("r"),
-    )
-    own = own.groupBy("key").agg(F.collect_list("r").alias("rs"))
-    labels = F.split(F.col("key"), r"\.", -1)
-    around = own.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), "."), F.lit(".")))).alias("outer"))
-    outer = own.select(F.col("key").alias("outer"), "rs")
-    return around.join(outer, "outer").groupBy("key").agg(F.flatten(F.collect_list("rs")).alias("stack"))
+def _sweep(points: DataFrame, marks: DataFrame, by: list[str], salt: str) -> DataFrame:
+    """``points`` with ``mark``: of ``marks`` (columns ``by``, ``mark``) the last that is not after the point in the order of ``by``."""
+    none = marks.schema["mark"].dataType
+    rows = points.withColumns({"q_kind": F.lit(1), "mark": F.lit(None).cast(none), "q_salt": F.xxhash64(salt)})
+    begin = marks.select(*by, "mark").withColumns({"q_kind": F.lit(0), "q_salt": F.lit(0).cast("long")})
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = begin.unionByName(rows, allowMissingColumns=True).repartitionByRange(n, *by, "q_kind", "q_salt").withColumn("q_part", F.spark_partition_id())
+    dealt = written(dealt, "url-events")
+    last = dealt.where("q_kind = 0").groupBy("q_part").agg(F.max_by("mark", F.struct(*by)).alias("mark"))
+    parts = dealt.sparkSession.range(n).select(F.col("id").cast("int").alias("q_part"))  # as many rows as partitions
+    before = F.last("mark", True).over(Window.orderBy("q_part").rowsBetween(Window.unboundedPreceding, -1))
+    carry = parts.join(last, "q_part", "left").select("q_part", before.alias("q_open"))
+    inside = Window.partitionBy("q_part").orderBy(*by, "q_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = dealt.withColumn("q_now", F.last("mark", True).over(inside)).where("q_kind = 1").join(F.broadcast(carry), "q_part")
+    return swept.select(*points.columns, F.coalesce("q_now", "q_open").alias("mark"))
+
+
+def _prefixes(marks: DataFrame, by: list[str], text: str, length: Column) -> DataFrame:
+    """``by``, ``stack``: the lengths of the prefixes of ``text`` (those that end in a place of ``length``) that are marks too, itself included."""
+    own = marks.select(*by).distinct()
+    part = own.select(*by, F.explode(length).alias("n")).withColumn("q_of", F.substring(F.col(text), F.lit(1), F.col("n")))
+    outer = own.select(*(F.col(c).alias("q_of" if c == text else c) for c in by))
+    return part.join(outer, ["q_of", *(c for c in by if c != text)], "left_semi").groupBy(*by).agg(F.array_sort(F.collect_list("n")).alias("stack"))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -62,32 +74,34 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
 
     Of the rules that fit, the one with the most characters in host and path wins; on a tie the longer
     host, then ``block``, then the larger path. No rule: null and ``default``. A null url, or one without
-    ``://``, has an empty host and path. Repeated rows and null ids are judged as any other; an empty
-    table of pages gives no rows, an empty table of rules judges all by ``default``.
+    ``://``, has an empty host and path; a very long one is read whole. Repeated rows and null ids are judged as
+    any other; other columns are ignored; an empty table of pages gives no rows, an empty table of rules judges
+    all by ``default``. Rules with a null part are passed over.
     """
     url = F.col(url_col)
-    events = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.lit(1).alias("kind"), F.lit(None).alias("stack"))
-    events = events.withColumn("key", key_of(F.col("host"))).withColumn("salt", F.xxhash64("id"))
-    begin = _hosts(rules).select(F.lit(None).alias("id"), F.lit(None).alias("host"), F.lit(None).alias("path"), F.lit(0).alias("kind"), "stack", "key", F.lit(0).alias("salt"))
-    events = begin.unionByName(events, allowMissingColumns=True).select(F.col("id").cast("long").alias("id"), "host", "path", "kind", "key", "salt", "stack")
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = events.repartitionByRange(n, "key", "kind", "salt").withColumn("part", F.spark_partition_id())
-    dealt = written(dealt, "url-events")
-    last = dealt.where("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
-    parts = dealt.sparkSession.range(n).select(F.col("id").cast("int").alias("part"))  # as many rows as partitions
-    carry = parts.join(last, "part", "left").select(
-        "part", F.last("stack", True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("open")
-    )
-    sweep = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = dealt.withColumn("now", F.last("stack", True).over(sweep)).where("kind = 1").join(F.broadcast(carry), "part")
-    fits = F.filter(
-        F.coalesce("now", "open"),
-        lambda r: F.col("key").startswith(r["of"]) & F.col("path").startswith(r["path"]),
-    )
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["n"], r["h"], r["block"], r["path"], r["rule"], r["verdict"])))
-    return swept.withColumn("best", best).select(
-        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
-    )
+    own = rules.where("verdict is not null and host is not null and path is not null").select("verdict", "path", F.translate("host", UPPER, LOWER).alias("host"))
+    own = own.groupBy("host", "path").agg(F.max(F.struct((F.col("verdict") == "block").alias("block"), "verdict")).alias("v"))
+    own = written(own.select(key_of(F.col("host")).alias("key"), "host", "path", "v.block", "v.verdict"), "url-rules")
+    ends = F.filter(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(F.col("key"), i, F.lit(1)) == ".")
+    hosts = _prefixes(own, ["key"], "key", ends).select("key", F.struct("key", "stack").alias("mark"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
+    rows = rows.withColumn("key", key_of(F.col("host"))).withColumn("row", F.monotonically_increasing_id())
+    met = _sweep(rows, hosts, ["key"], "id")
+    around = F.transform("mark.stack", lambda n: F.substring(F.col("mark.key"), F.lit(1), n))
+    met = met.select("id", "host", "path", "row", F.explode_outer(F.filter(around, lambda k: F.col("key").startswith(k))).alias("key"))
+    each = F.sequence(F.lit(0), F.length("path"))
+    paths = _prefixes(own, ["key", "path"], "path", each).select("key", "path", F.struct("key", "path", "stack").alias("mark"))
+    swept = _sweep(met, paths, ["key", "path"], "row")
+    fits = F.filter("mark.stack", lambda n: F.col("path").startswith(F.substring(F.col("mark.path"), F.lit(1), n)))
+    swept = swept.withColumn("n", F.when(F.col("mark.key") == F.col("key"), F.array_max(fits)))
+    found = swept.select("id", "host", "path", "row", "key", F.substring(F.col("path"), F.lit(1), F.col("n")).alias("fit"))
+    rank = F.struct(F.length(F.concat("of.host", "of.path")).alias("n"), F.length("of.host").alias("h"), "of.block", "of.path", "of.host", "of.verdict")
+    count = found.where("fit is not null").groupBy("key", "fit").agg(F.count("*").alias("q_n"))
+    of = own.select("key", F.col("path").alias("fit"), F.struct("host", "path", "block", "verdict").alias("of")).join(count, ["key", "fit"])
+    judged = join_skewed(found, of, ["key", "fit"], "q_n", left=True)
+    best = judged.groupBy("row").agg(F.first("id").alias("id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max(F.when(F.col("of").isNotNull(), rank)).alias("best"))
+    rule = F.concat("best.host", "best.path")
+    return best.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def _sql(rules=RULES, default="allow") -> str:

@@ -52,4 +52,14 @@ def test_frame(spark):
             assert offset == at
             at += length
         assert at <= 1024
+    # brute force: the pieces of each document, packed by the plan of their lengths, rank by rank
+    pieces = sorted((x[a : a + 1024] for v in ids.values() for x in v for a in range(0, len(x), 1024)), key=len)
+    hist = np.bincount([len(x) for x in pieces], minlength=1025)
+    want = sorted(sorted(lengths) for lengths, times in p.plan(hist) for _ in range(times))
+    assert sorted(sorted(n for _, n in s) for s in seqs.values()) == want and sorted(seqs) == list(range(len(want)))
+    tokens = sum(map(len, pieces))
+    assert len(seqs) <= -(-tokens // 1024) + 2
+    small = p.pack(df, BPE, salted=3).collect()
+    assert sorted((r.doc_id or -1, r.start, r.ids_crc32) for r in small) == sorted((r.doc_id or -1, r.start, r.ids_crc32) for r in got)
+    assert len({(r.sequence_id, r.offset) for r in small}) == len(small) and {r.sequence_id for r in small} == set(seqs)
     assert p.pack(df.limit(0), BPE).count() == 0

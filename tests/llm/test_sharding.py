@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import defaultdict
@@ -46,8 +47,8 @@ def test_minimax_equals_plain_search():
 
 def test_frame(spark):
     rnd = random.Random(2)
-    texts = [None, "", "é" * 40, "hot " * 30] + [f"text {i} " * rnd.randint(1, 9) for i in range(80)]
-    rows = [(i, texts[3] if i % 3 == 0 else rnd.choice(texts)) for i in range(400)] + [(None, None), (5, "twice"), (5, "twice")]
+    texts = [None, "", "null text", "é" * 40, "hot " * 30] + [f"text {i} " * rnd.randint(1, 9) for i in range(80)]
+    rows = [(i, texts[4] if i % 3 == 0 else rnd.choice(texts)) for i in range(400)] + [(None, None), (5, "twice"), (5, "twice")]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, size int, key string")
     got = s.shard(df).collect()
     assert len(got) == len(rows) and {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
@@ -59,5 +60,9 @@ def test_frame(spark):
         slots[r.shard].append(r.slot)
         size[r.shard] += r.size
     assert all(len(v) <= (2 if k == (0, 1) else 1) for k, v in where.items())
+    groups = defaultdict(int)
+    for _, t in rows:
+        groups[s.NULL if t is None else hashlib.sha256(t.encode()).hexdigest()] += len((t or "").encode()) + 1
+    assert max(size.values()) == optimum([groups[k] for k in sorted(groups)], 8)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and max(slots) <= 7
     assert s.shard(df.limit(0)).count() == 0
