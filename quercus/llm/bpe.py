@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quercus.llm.common import slices, texts
+from quercus.llm.common import slices, texts, trimmed
 
 LONG = 8192  # bytes; longer unsplit pieces are cut in halves
 CACHE = 400_000  # pieces kept per worker
@@ -97,19 +97,35 @@ class Codec:
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        # shortcuts of the encoder; where a version lacks them, its public calls give the same ids more slowly
+        core = getattr(self.fast, "_core_bpe", None)
+        self.plain = getattr(core, "encode_ordinary", None) or self.fast.encode_ordinary
+        self.piece = getattr(core, "encode_single_piece", None) or self._piece
         self.bytes_of = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+        self.id_of = ranks
         for b, i in ranks.items():
             self.bytes_of[i] = b
         for t, i in special.items():
             self.bytes_of[i] = t.encode()
-        self.cache = _Cache(self._short, self.fast._core_bpe.encode_single_piece)
+        self.cache = _Cache(self._short, self.piece)
+
+    def _piece(self, piece: bytes) -> list[int]:
+        """Ids of the bytes of one piece: the pairs that the vocabulary joins first are joined until none is left."""
+        ids = [self.id_of[bytes([b])] for b in piece]
+        while len(ids) > 1:
+            joined = [(self.id_of.get(self.bytes_of[a] + self.bytes_of[b], len(self.bytes_of)), i) for i, (a, b) in enumerate(zip(ids, ids[1:], strict=False))]
+            best, i = min(joined)
+            if best == len(self.bytes_of):
+                break
+            ids[i : i + 2] = [best]
+        return ids
 
     def _short(self, text: str) -> bytes:
         """Ids of a text without special tokens, as little-endian unsigned 32-bit integers."""
         if len(text) > self.long:
             return self._unsplit(text)
         if text.isascii() or PLAIN.fullmatch(text):
-            return array("I", self.fast._core_bpe.encode_ordinary(text)).tobytes()
+            return array("I", self.plain(text)).tobytes()
         return array("I", self.own.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unsplit(self, text: str) -> bytes:
@@ -121,7 +137,7 @@ class Codec:
 
     def tree(self, piece: bytes) -> list[int]:
         """Ids of one unsplit piece, by tree concatenation."""
-        one = self.fast._encode_single_piece
+        one = self.piece
         parts = [piece[i : i + self.long] for i in range(0, len(piece), self.long)]
         with ThreadPoolExecutor(2) as pool:  # the encoder releases the interpreter's lock
             level = list(pool.map(one, parts))
@@ -135,7 +151,7 @@ class Codec:
         width = 4
         while True:
             a, b = left[-width:], right[:width]
-            mid = self.fast._encode_single_piece(b"".join(map(self.bytes_of.__getitem__, [*a, *b])))
+            mid = self.piece(b"".join(map(self.bytes_of.__getitem__, [*a, *b])))
             left_ok = width >= len(left) or (len(mid) > 2 and mid[:2] == a[:2])
             right_ok = width >= len(right) or (len(mid) > 2 and mid[-2:] == b[-2:])
             if left_ok and right_ok:
@@ -184,7 +200,11 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``ids`` (array of int) of every whole text; a null text has no ids, other columns are ignored."""
+    """``id_col``, ``ids`` (array of int) of every whole text, however long.
+
+    A null or empty text has no ids; a null id stays null; repeated rows are encoded each; there are no ties; an
+    empty table gives no rows; other columns are ignored, whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -194,24 +214,32 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     src = texts(docs, id_col, text_col)
-    return src.mapInArrow(run, "id long, ids array<int>").withColumnRenamed("id", id_col)
+    return src.mapInArrow(trimmed(run), "id long, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """``id_col``, ``text`` of every array of ids; null ids give the empty text."""
+    """``id_col``, ``text`` of every array of ids, special tokens included.
+
+    Null ids give the empty text, and so do null or unknown ids inside an array (out of the vocabulary), as in the
+    library; bytes that are no UTF-8 give replacement characters. A null id stays null; repeated rows are decoded
+    each; an empty table gives no rows; other columns are ignored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            text = [c.decode(np.asarray(x or [], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
+            text = [c.decode(np.asarray([i for i in x or [] if i is not None and 0 <= i < len(c.bytes_of)], "<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(text, pa.string())], ["id", "text"])
 
     src = df.select(df[id_col].cast("long").alias("id"), df[ids_col].alias("ids"))
-    return src.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return src.mapInArrow(trimmed(run), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes every whole text in one pass."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: encodes and decodes every whole text in one pass.
+
+    Null and empty texts, null ids, repeated rows, empty tables and other columns as in :func:`encode`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -226,4 +254,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = texts(docs, "doc_id", "text").withColumnRenamed("id", "doc_id")
-    return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return src.mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

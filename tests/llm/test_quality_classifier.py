@@ -1,9 +1,12 @@
+import os
 import random
 import zlib
 
 import numpy as np
+import pytest
 
 from quercus.llm import quality_classifier as q
+from quercus.llm import registry
 
 
 def corpus(n):
@@ -24,10 +27,59 @@ def test_votes_equal_a_plain_search():
     space = q.fit([(t, y) for _, t, y in rows[:50]], model)
     got = q.vote(space, [t for _, t, _ in rows[50:]], model)
     for (_, t, _), score in zip(rows[50:], got, strict=True):
-        v = space.embed([t])[0].astype(float)
-        near = sorted(((float(v @ u), y) for u, y in zip(space.vectors.astype(float), space.labels, strict=True)), reverse=True)[:5]
-        w = [max(0, s) ** model.sharpness for s, _ in near]
-        assert abs(score - sum(a * y for a, (_, y) in zip(w, near, strict=True)) / sum(w)) < 1e-3
+        assert abs(score - plain_vote(space, t, model)) < 1e-9
+
+
+def plain_vote(space, t, model):
+    """Every labelled text in turn, by whole numbers; of equally near ones the first."""
+    v = [int(x) for x in space.embed([t])[0]]
+    near = [(sum(a * int(b) for a, b in zip(v, u, strict=True)), -i, y) for i, (u, y) in enumerate(zip(space.vectors, space.labels, strict=True))]
+    near = sorted(near, reverse=True)[: model.neighbours]
+    w = [max(0, s / q.GRID**2) ** model.sharpness for s, *_ in near]
+    return sum(a * y for a, (*_, y) in zip(w, near, strict=True)) / sum(w)
+
+
+def test_scores_do_not_depend_on_the_batch():
+    rows = corpus(120)
+    space = q.fit([(t, y) for _, t, y in rows[:70]] + [(rows[3][1], 1 - rows[3][2])] * 20)
+    docs = [t for _, t, _ in rows]
+    whole = q.vote(space, docs)
+    assert whole.tolist() == [q.vote(space, [t])[0] for t in docs] == np.concatenate([q.vote(space, docs[a : a + 7]) for a in range(0, 120, 7)]).tolist()
+
+
+def test_words_alone_can_tell_quality_apart():
+    """Texts of one shape, told apart by what they say."""
+    rnd = random.Random(4)
+    good, bad = ["calm", "deep", "kind", "true", "warm"], ["spam", "junk", "fake", "scam", "trap"]
+    rows = [(" ".join(rnd.choice(good if i % 2 else bad) for _ in range(40)), i % 2) for i in range(80)]
+    space = q.fit(rows[:60])
+    assert [s >= 0.5 for s in q.vote(space, [t for t, _ in rows[60:]])] == [y == 1 for _, y in rows[60:]]
+
+
+def test_query_equals_a_plain_search(spark, tmp_path):
+    """The whole query: sample, vocabulary, counts over all documents, votes."""
+    rows = corpus(150)
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y, 0) for i, _, y in rows if i % 5], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in registry.QUERIES["op6_quality_classifier"](spark, str(tmp_path)).collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i, *_ in rows}
+    sample = [(t, y) for i, t, y in rows if i % 5 and not held[i]]
+    own = q.vocabulary(sample)
+    counts = np.asarray([sum(k in q.terms(t)[0] for _, t, _ in rows) for k in own])
+    space = q.fit(sample, own=own, counts=counts, total=len(rows))
+    assert set(got) == set(held)
+    for i, t, _ in rows:
+        want = plain_vote(space, t, q.VotingModel())
+        assert abs(got[i].score - want) < 1e-6 and got[i].held_out == held[i] and got[i].predicted == (got[i].score >= 0.5)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables here")
+def test_held_out_ranking_of_the_labels_table(spark):
+    """The share of pairs of held-out documents of either label that the scores order rightly."""
+    folder = "/root/testdata/sf0.1"
+    got = registry.QUERIES["op6_quality_classifier"](spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").select("score", "quality").collect()
+    good, bad = (np.asarray([r.score for r in got if r.quality == y]) for y in (1, 0))
+    assert len(bad) > 100 and ((good[:, None] > bad).mean() + (good[:, None] == bad).mean() / 2) > 0.98
 
 
 def test_held_out_accuracy_and_cases(spark):
