@@ -1,12 +1,16 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are sorted by length and cut into buckets of a fixed number of rows.
-The longest vectors give each query a first lower bound on its k-th score. In a
-bucket, that bound over (query length times the bucket's longest vector) is a
-local cosine threshold: above 1 the bucket is skipped for the query; high
-thresholds prune by coordinates (a unit vector within the threshold must lie in
-an interval around the query's value on its largest coordinates), low ones by
-length only; what is left is verified by exact integer products.
+Candidates are sorted by length and cut into buckets of a fixed number of rows;
+neighbouring buckets make a group of a fixed size. Groups are met in rounds, the
+longest vectors first, twice as many in each round; a round raises each query's
+lower bound on its k-th score. In a bucket, that bound over (query length times
+the bucket's longest vector) is a local cosine threshold: above 1 the bucket is
+skipped for the query; high thresholds prune by coordinates (a unit vector
+within the threshold must lie in an interval around the query's value on its
+largest coordinates), low ones by length only; what is left is verified by exact
+integer products. A block of queries goes once to each group, and not at all to
+groups that are too short for it; vectors move as the narrowest integers that
+hold them.
 """
 
 from __future__ import annotations
@@ -18,9 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quercus.llm.common import arrow_rows, written
+from quercus.llm.common import bounded, trimmed, written
 
 BUCKET, BLOCK, FOCUS, COORDINATES, SALTS = 2048, 512, 4, 0.6, 64
+GROUP_BYTES = 1 << 25  # of the vectors of a group
+LEAST = np.iinfo(np.int64).min
+Found = tuple[np.ndarray, np.ndarray, np.ndarray]  # query, candidate, score
 
 
 def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
@@ -32,65 +39,111 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> Dat
 
 def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer products of the rows; floating point only where every partial sum is exact in it."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
+    most = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(1, q.shape[1])
     if most < 1 << 24:
         return np.rint(q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if most < 1 << 53:
         return np.rint(q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
     if most < 1 << 62:
-        return q @ c.T
+        return q.astype(np.int64) @ c.astype(np.int64).T
     return (q.astype(object) @ c.astype(object).T).astype(np.int64)  # raises where a score is no long
 
 
-def search(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(found: Found, k: int) -> Found:
+    """The k best candidates of each query: each candidate once, by its highest score; ties to the smaller one."""
+    q, c, s = found
+    by = np.lexsort((-s, c, q))
+    q, c, s = q[by], c[by], s[by]
+    new = np.append(True, (q[1:] != q[:-1]) | (c[1:] != c[:-1])) if len(q) else np.zeros(0, bool)
+    q, c, s = q[new], c[new], s[new]
+    by = np.lexsort((c, -s, q))
+    q, c, s = q[by], c[by], s[by]
+    start = np.append(True, q[1:] != q[:-1]) if len(q) else np.zeros(0, bool)
+    at = np.arange(len(q))
+    keep = at - np.maximum.accumulate(np.where(start, at, 0)) < k
+    return q[keep], c[keep], s[keep]
+
+
+def _near_coordinates(u: np.ndarray, unit: np.ndarray, th: np.ndarray, slack: float) -> np.ndarray:
+    """For each query (unit vector, threshold) the unit vectors whose values on its largest coordinates allow the threshold."""
+    keep = np.ones((len(u), len(unit)), bool)
+    rows = np.arange(len(u))
+    for f in np.argsort(-np.abs(u), axis=1)[:, :FOCUS].T:
+        own, x = u[rows, f], unit[:, f].T
+        # an angle of at most arccos(th) moves coordinate f by no more than this
+        width = np.sqrt(np.maximum(0.0, 1 - th * th)) * np.sqrt(np.maximum(0.0, 1 - own * own)) + slack
+        keep &= (x >= (th * own - width)[:, None]) | (own < -th)[:, None]
+        keep &= (x <= (th * own + width)[:, None]) | (own > th)[:, None]
+    return keep
+
+
+def search(qid: np.ndarray, q: np.ndarray, bound: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> Found:
     """(query, candidate, score) of one bucket for one block: all that can be among the k best."""
     qn, cn = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((c.astype(float) ** 2).sum(1))
     longest = cn.max(initial=0)
     slack = 1e-9  # keeps rounding from pruning a score that equals the bound
+    low = bound.astype(float)
     with np.errstate(divide="ignore", invalid="ignore"):
-        cosine = np.where(qn * longest > 0, bound / (qn * longest), np.where(bound > 0, np.inf, -np.inf))
+        cosine = np.where(qn * longest > 0, low / (qn * longest), np.where(low > 0, np.inf, -np.inf))
     live = np.flatnonzero(cosine <= 1 + slack)
-    unit = c / np.maximum(cn, 1e-300)[:, None]
     out = []
 
-    def verify(rows: np.ndarray, keep: np.ndarray) -> None:
+    def verify(rows: np.ndarray, keep: np.ndarray, allowed: np.ndarray | None = None) -> None:
         if not len(rows) or not len(keep):
             return
         s = products(q[rows], c[keep])
-        own = qid[rows][:, None] == cid[keep][None, :]
-        ok = (s >= bound[rows][:, None]) & ~own
-        if s.shape[1] > k and len(np.unique(cid[keep])) == len(keep):  # each query keeps what equals or beats its k-th score here
-            t = np.where(own, np.iinfo(np.int64).min, s)
-            ok &= s >= np.partition(t, s.shape[1] - k, axis=1)[:, [s.shape[1] - k]]
+        ok = (s >= bound[rows][:, None]) & (qid[rows][:, None] != cid[keep][None, :])
+        if allowed is not None:
+            ok &= allowed
         i, j = np.nonzero(ok)
-        out.append((qid[rows][i], cid[keep][j], s[i, j]))
-
-    for r in live[cosine[live] >= COORDINATES].tolist():  # coordinate pruning
-        th, u = max(-1.0, cosine[r] - slack), q[r] / qn[r]
-        keep = np.ones(len(c), bool)
-        for f in np.argsort(-np.abs(u))[:FOCUS]:
-            # an angle of at most arccos(th) moves coordinate f by no more than this
-            w = np.sqrt(max(0.0, 1 - th * th)) * np.sqrt(max(0.0, 1 - u[f] * u[f])) + slack
-            low = th * u[f] - w if u[f] >= -th else None
-            high = th * u[f] + w if u[f] <= th else None
-            if low is not None:
-                keep &= unit[:, f] >= low
-            if high is not None:
-                keep &= unit[:, f] <= high
-        keep &= cn * qn[r] >= bound[r] - slack * max(1.0, abs(bound[r]))
-        verify(np.asarray([r]), np.flatnonzero(keep))
+        out.append(best((qid[rows][i], cid[keep][j], s[i, j]), k))
+
+    high = live[cosine[live] >= COORDINATES]
+    if len(high):  # coordinate pruning
+        unit = c / np.maximum(cn, 1e-300)[:, None]
+        keep = _near_coordinates(q[high] / qn[high][:, None], unit, np.maximum(-1.0, cosine[high] - slack), slack)
+        keep &= cn[None, :] * qn[high][:, None] >= (low[high] - slack * np.maximum(1.0, np.abs(low[high])))[:, None]
+        some = np.flatnonzero(keep.any(axis=0))
+        rows = np.flatnonzero(keep.any(axis=1))
+        verify(high[rows], some, keep[np.ix_(rows, some)])
     rest = live[cosine[live] < COORDINATES]
     if len(rest):  # length pruning: the bound of the least demanding query of the block
         with np.errstate(divide="ignore", invalid="ignore"):
-            need = np.where(qn[rest] > 0, bound[rest] / qn[rest], -np.inf).min()
+            need = np.where(qn[rest] > 0, low[rest] / qn[rest], -np.inf).min()
         verify(rest, np.flatnonzero(cn >= need - slack * max(1.0, abs(need))))
-    if not out:
-        return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+    return _joined(out)
+
+
+def _joined(parts: list[Found]) -> Found:
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
+
+
+def _kth(qid: np.ndarray, found: Found, k: int) -> np.ndarray:
+    """The k-th score of each query in ``found`` (as :func:`best` gives it), or the least number."""
+    out = np.full(len(qid), LEAST)
+    q, _, s = found
+    start = np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else np.zeros(0, np.int64)
+    full = start[np.diff(np.append(start, len(q))) >= k]
+    order = np.argsort(qid)
+    out[order[np.searchsorted(qid, q[full], sorter=order)]] = s[full + k - 1]
+    return out
+
+
+def _narrow(vs: np.ndarray) -> np.ndarray:
+    for kind in ("<i2", "<i4"):
+        if vs.size == 0 or (np.iinfo(kind).min <= vs.min() and vs.max() <= np.iinfo(kind).max):
+            return vs.astype(kind)
+    return vs.astype("<i8")
+
+
+def _vectors(ids: bytes, vs: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, "<i8")
+    width = len(vs) // max(1, len(i) * dim) or 2
+    return i, np.frombuffer(vs, f"<i{width}").reshape(len(i), dim)
 
 
 def _blocks(df: DataFrame, size: int, by: list) -> DataFrame:
-    """Rows (dim, block, norm, ids, vs) of at most about ``size`` vectors; the vectors as little-endian 64-bit integers."""
+    """Rows (dim, norm, ids, vs) of at most ``size`` vectors, as the narrowest integers; ``norm`` is that of the longest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -101,82 +154,104 @@ def _blocks(df: DataFrame, size: int, by: list) -> DataFrame:
             for a, e in zip(cuts, [*cuts[1:], len(n)], strict=True):
                 for i in range(a, e, size):
                     j = min(e, i + size)
-                    vs = flat[off[i] : off[j]].reshape(j - i, int(n[a])).astype("<i8")
-                    rows.append((int(n[a]), float(np.sqrt((vs.astype(float) ** 2).sum(1)).max(initial=0)), ids[i:j].astype("<i8").tobytes(), vs.tobytes()))
+                    vs = flat[off[i] : off[j]].reshape(j - i, int(n[a]))
+                    rows.append((int(n[a]), float(np.sqrt((vs.astype(float) ** 2).sum(1)).max(initial=0)), ids[i:j].astype("<i8").tobytes(), _narrow(vs).tobytes()))
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int32(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["dim", "norm", "ids", "vs"])
 
     dealt = df.withColumn("dim", F.size("v")).withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x))
     dealt = dealt.repartitionByRange(*by).sortWithinPartitions("dim", F.desc("norm2"), "id").select("id", "dim", "v")
-    return dealt.mapInArrow(run, "dim int, norm double, ids binary, vs binary")
+    return dealt.mapInArrow(trimmed(run), "dim int, norm double, ids binary, vs binary")
+
+
+def _meet(k: int):
+    """Streams the rows of each group, its buckets (``kind`` 0) first, then the blocks of queries that meet them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, buckets = None, []
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                if (r["dim"], r["group"]) != now:
+                    now, buckets = (r["dim"], r["group"]), []
+                if r["kind"] == 0:
+                    buckets.append(_vectors(r["ids"], r["vs"], r["dim"]))
+                    continue
+                qid, q = _vectors(r["ids"], r["vs"], r["dim"])
+                low, own = np.frombuffer(r["low"], "<i8"), _joined([])
+                for cid, c in buckets:
+                    more = search(qid, q, low, cid, c, k)
+                    if len(more[0]):
+                        own = best(_joined([own, more]), k)
+                        low = np.maximum(low, _kth(qid, own, k))
+                rows.append((np.full(len(own[0]), r["block"]), *own))
+            cols = [np.concatenate(x) for x in zip(*rows, strict=True)] if rows else [np.zeros(0, np.int64)] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["block", "query_id", "vec_id", "score"])
+
+    return trimmed(run)
+
+
+def _raise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the bounds of their queries raised to the k-th scores ``kth`` found so far."""
+    for b in batches:
+        rows = []
+        for r in b.to_pylist():
+            qid, q = _vectors(r["ids"], r["vs"], r["dim"])
+            known = {x["query_id"]: x["score"] for x in r["kth"] or ()}
+            low = np.asarray([known.get(i, LEAST) for i in qid.tolist()], np.int64)
+            length = np.sqrt((q.astype(float) ** 2).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                need = np.where((low > LEAST) & (length > 0), low / length, np.where(low > 0, np.inf, -np.inf)).min(initial=np.inf)
+            rows.append((r["block"], r["dim"], float(need), r["ids"], r["vs"], low.astype("<i8").tobytes()))
+        cols = zip(*rows, strict=True) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "dim", "need", "ids", "vs", "low"])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 256) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k rows of ``vectors`` with the largest product for each of ``queries``.
 
     Components are floor(scale * x). A row is no candidate of a query with its id; ties go to the smaller
-    id. Vectors that are null, or hold null or non-finite components, take no part; only vectors of one
-    dimension meet. The score of two ids is the best of their rows, if an id has several. Fewer than k candidates: all of them. Empty tables give no rows; other columns are ignored.
+    id. Vectors that are null, or hold null or non-finite components, take no part, nor do null ids; only vectors of
+    one dimension meet, however long. Equal rows count once; the score of two ids is the best of their rows, if an id
+    has several. Fewer than k candidates: all of them. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
+    bounded(spark)
     all_ = quantised(vectors, id_col, vec_col, scale).where("id is not null").distinct()
     asked = quantised(queries, id_col, vec_col, scale).where("id is not null").distinct()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = written(_blocks(all_, BUCKET, [n, "dim", F.desc("norm2"), "id"]).withColumn("bucket", F.monotonically_increasing_id()), "topk-buckets")
-    blocks = written(_blocks(asked, BLOCK, [max(1, n // 4), "dim", "norm2", "id"]).withColumn("block", F.monotonically_increasing_id()), "topk-blocks")
-    if buckets.isEmpty() or blocks.isEmpty():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    # the longest bucket of each dimension (one row each) seeds the bounds
-    seed = buckets.groupBy("dim").agg(F.max_by("ids", "norm").alias("cids"), F.max_by("vs", "norm").alias("cvs"))
-
-    def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                qid, cid = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["cids"], "<i8")
-                q, c = (np.frombuffer(r[x], "<i8").reshape(m, r["dim"]) for x, m in (("vs", len(qid)), ("cvs", len(cid))))
-                s = products(q, c)
-                s[qid[:, None] == cid[None, :]] = LEAST
-                again = np.ones(len(cid), bool)
-                again[np.unique(cid, return_index=True)[1]] = False
-                s[:, again] = LEAST  # the bound counts each id once
-                low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(qid), LEAST)
-                length = np.sqrt((q.astype(float) ** 2).sum(1))
-                need = np.where((low > LEAST) & (length > 0), low / np.maximum(length, 1e-300), -np.inf).min(initial=np.inf)
-                rows.append((r["block"], r["dim"], float(need), r["ids"], r["vs"], low.astype("<i8").tobytes()))
-            cols = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["block", "dim", "need", "ids", "vs", "low"])
-
-    if seed.count() <= 16:  # a bucket each: at most 16 * BUCKET vectors
-        seed = F.broadcast(seed)
-    met = blocks.join(seed, "dim").select("block", "dim", "norm", "ids", "vs", "cids", "cvs")
-    with arrow_rows(spark, 8):
-        known = written(met.mapInArrow(bounds, "block long, dim int, need double, ids binary, vs binary, low binary"), "topk-bounds")
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = []
-            for r in b.to_pylist():
-                qid, cid = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["cids"], "<i8")
-                q, c = (np.frombuffer(r[x], "<i8").reshape(m, r["dim"]) for x, m in (("vs", len(qid)), ("cvs", len(cid))))
-                low = np.frombuffer(r["low"], "<i8")
-                found.append(search(qid, q, low.astype(np.float64) if np.abs(low[low > LEAST]).max(initial=0) < 1 << 53 else low, cid, c, k))
-            cols = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["query_id", "vec_id", "score"])
-
-    # each query block meets each bucket of its dimension that is long enough for one of its queries, once; the
-    # pairs are made of names alone, dealt by salt, and the vectors follow
-    names = buckets.select("dim", "bucket", F.col("norm").alias("longest"), F.pmod("bucket", F.lit(SALTS)).alias("salt"))
-    asked = known.select("dim", "block", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    pairs = asked.join(names, ["dim", "salt"]).where(F.col("longest") >= F.col("need") - 1e-6 * (1 + F.abs("need"))).select("block", "bucket")
-    asked = pairs.join(known.drop("need"), "block")
-    met = asked.join(buckets.select("bucket", F.col("ids").alias("cids"), F.col("vs").alias("cvs")), "bucket")
-    met = met.select("dim", "ids", "vs", "low", "cids", "cvs")
-    with arrow_rows(spark, 8):
-        found = written(met.mapInArrow(look, "query_id long, vec_id long, score long"), "topk-found")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-LEAST = np.iinfo(np.int64).min
+    buckets = _blocks(all_, BUCKET, [n, "dim", F.desc("norm2"), "id"]).withColumn("bucket", F.monotonically_increasing_id())
+    per = F.greatest(F.lit(1), F.floor(F.lit(GROUP_BYTES) / F.greatest(F.lit(1), F.octet_length("vs"))))
+    # buckets of one partition follow each other: so many of them make a group
+    buckets = written(buckets.withColumn("group", F.col("bucket") - F.pmod(F.col("bucket").bitwiseAND((1 << 33) - 1), per)), "topk-buckets")
+    groups = buckets.groupBy("dim", "group").agg(F.max("norm").alias("longest"))
+    place = F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("longest"), "group"))
+    groups = written(groups.withColumn("round", F.floor(F.log2(place)).cast("int")), "topk-groups")
+    blocks = _blocks(asked, BLOCK, [max(1, n // 4), "dim", "norm2", "id"]).withColumn("block", F.monotonically_increasing_id()).drop("norm")
+    blocks = written(blocks.withColumn("kth", F.lit(None).cast("array<struct<query_id:long,score:long>>")), "topk-blocks")
+    rounds = groups.agg(F.max("round")).first()[0]
+    found = spark.createDataFrame([], "block long, query_id long, vec_id long, score long")
+    if rounds is None or blocks.isEmpty():
+        return found.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
+    state = "block long, dim int, need double, ids binary, vs binary, low binary"
+    known = written(blocks.mapInArrow(trimmed(_raise), state), "topk-bounds")
+    for at in range(rounds + 1):
+        here = groups.where(F.col("round") == at)
+        # pairs are made of names alone, dealt by salt, and the vectors follow
+        names = here.select("dim", "group", "longest", F.pmod(F.xxhash64("group"), F.lit(SALTS)).alias("salt"))
+        salted = known.select("dim", "block", "need", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        pairs = salted.join(names, ["dim", "salt"]).where(F.col("longest") >= F.col("need") - 1e-6 * (1 + F.abs("need"))).select("dim", "block", "group")
+        pairs = written(pairs, "topk-pairs")
+        one = pairs.join(known.select("block", "ids", "vs", "low"), "block").select("dim", "group", F.lit(1).alias("kind"), "block", "ids", "vs", "low")
+        other = buckets.join(pairs.select("dim", "group").distinct(), ["dim", "group"]).select("dim", "group", F.lit(0).alias("kind"), F.col("bucket").alias("block"), "ids", "vs", F.lit(None).cast("binary").alias("low"))
+        rows = other.unionByName(one).repartition(n, "dim", "group").sortWithinPartitions("dim", "group", "kind", "block")
+        new = written(rows.mapInArrow(_meet(k), "block long, query_id long, vec_id long, score long"), "topk-met")
+        both = found.union(new).groupBy("block", "query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        found = written(both.withColumn("rank", rank).where(F.col("rank") <= k), "topk-found")
+        if at < rounds:
+            # the queries of a block that have k results: at most as many rows as the block has vectors
+            kth = found.where(F.col("rank") == k).groupBy("block").agg(F.collect_list(F.struct("query_id", "score")).alias("kth"))
+            known = written(blocks.drop("kth").join(kth, "block", "left").select(blocks.columns).mapInArrow(trimmed(_raise), state), "topk-bounds")
+            found = found.drop("rank")
+    return found.select("query_id", "rank", "vec_id", "score")

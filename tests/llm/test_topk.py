@@ -26,6 +26,7 @@ def brute(rows, queries, k):
 def test_brute_force(spark, scale, monkeypatch):
     monkeypatch.setattr(t, "BUCKET", 16)
     monkeypatch.setattr(t, "BLOCK", 4)
+    monkeypatch.setattr(t, "GROUP_BYTES", 400)  # several rounds
     rnd = random.Random(scale)
     rows = []
     for i in range(220):
@@ -51,3 +52,15 @@ def test_pruning_loses_nothing():
         for i in range(40):
             for j in np.argsort(-s[i])[:k]:
                 assert (i, j, s[i, j]) in found
+
+
+def test_many_equal_vectors(spark, monkeypatch):
+    """Ties of a third of the rows: the smaller ids win, and no group returns more than k rows a query."""
+    rnd = random.Random(8)
+    rows = [(i, [1.0, 2.0, 0.5] if i % 3 == 0 else [rnd.gauss(0, 1) for _ in range(3)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = {i for i, _ in rows if i % 50 == 0}
+    got = t.top_k(df, df.where("vec_id % 50 = 0"))
+    assert sorted(map(tuple, got.collect())) == brute(rows, queries, 5)
+    q, c, s = t.best((np.zeros(9, int), np.asarray([5, 4, 3, 2, 1, 1, 7, 8, 9]), np.asarray([1, 1, 1, 1, 0, 1, 5, 0, 1])), 3)
+    assert c.tolist() == [7, 1, 2] and s.tolist() == [5, 1, 1]
