@@ -35,7 +35,7 @@ def side_effects(s: Stages) -> DataFrame:
     outside = calls.join(own.select(F.col("mfa").alias("dst")).distinct(), "dst", "left_anti").groupBy("src").agg(F.max("level").alias("out"))
     state = own.join(direct, key, "left").join(outside, F.col("mfa") == F.col("src"), "left").select("mfa", F.greatest(F.coalesce("own", F.lit(0)), F.coalesce("out", F.lit(0))).alias("v"))
     state = staged(state, "effects")
-    for _ in range(graph.MOST):
+    while True:
         up = inside.join(state, F.col("dst") == F.col("mfa")).select(F.col("src").alias("mfa"), "v")
         nxt = staged(state.union(up).groupBy("mfa").agg(F.max("v").alias("v")).join(own.select("mfa"), "mfa", "left_semi"), "effects")
         same = nxt.join(state.withColumnRenamed("v", "was"), "mfa").where("v <> was").isEmpty()

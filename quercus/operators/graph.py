@@ -1,8 +1,10 @@
 """Operators on directed graphs given as edge tables ``src, dst``.
 
-Loops are driver loops over written tables; each round is a join and an
-aggregate, and no round holds more rows than nodes or edges, except for
-``closure``, whose result is all reachable pairs by definition.
+Loops are driver loops over written tables that end when nothing changes, never
+after a fixed number of rounds. A round is a join and an aggregate, and no round
+holds more rows than nodes or edges, except for ``reachable`` and ``closure``,
+whose result is pairs by definition. Nothing but one row of counts comes to the
+driver.
 """
 
 from __future__ import annotations
@@ -10,77 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.plans.staging import staged
-
-MOST = 10_000  # rounds of a loop; only a longer shortest path would need more
-SMALL = 20_000  # a graph of at most so many edges is solved on the driver; larger ones by the distributed loops
-
-
-def _local(edges: DataFrame, most: int | None = None) -> dict | None:
-    """Successors of each node if the graph is small, else None."""
-    most = SMALL if most is None else most
-    rows = edges.select("src", "dst").distinct().limit(most + 1).collect()  # the checked bound
-    if len(rows) > most:
-        return None
-    out: dict = {}
-    for a, b in rows:
-        out.setdefault(a, []).append(b)
-        out.setdefault(b, [])
-    return out
-
-
-def _frame(edges: DataFrame, rows: list[tuple], *names: str) -> DataFrame:
-    """Rows as a DataFrame; all columns have the type of the nodes."""
-    kind = edges.schema["src"].dataType.simpleString()
-    schema = ", ".join(f"{n} {kind}" for n in names)
-    return edges.sparkSession.createDataFrame(rows, schema)
-
-
-def _reach(adj: dict, start, without: set | frozenset = frozenset()) -> set:
-    seen, todo = {start}, [start]
-    while todo:
-        for x in adj.get(todo.pop(), ()):
-            if x not in seen and x not in without:
-                seen.add(x)
-                todo.append(x)
-    return seen
-
-
-def _finish_order(adj: dict) -> list:
-    """Nodes in the order in which a depth-first search leaves them."""
-    seen, out = set(), []
-    for v in sorted(adj):
-        stack = [] if v in seen else [(v, iter(adj[v]))]
-        seen.add(v)
-        while stack:
-            node, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                out.append(node)
-                stack.pop()
-            else:
-                seen.add(nxt)
-                stack.append((nxt, iter(adj[nxt])))
-    return out
-
-
-def _turned(adj: dict) -> dict:
-    back: dict = {v: [] for v in adj}
-    for a, bs in adj.items():
-        for b in bs:
-            back[b].append(a)
-    return back
-
-
-def _sccs(adj: dict) -> list[set]:
-    """Two passes: leave order forwards, then reach backwards from the last left."""
-    back, done, out = _turned(adj), set(), []
-    for v in reversed(_finish_order(adj)):
-        if v not in done:
-            own = _reach(back, v, done)
-            done |= own
-            out.append(own)
-    return out
+from quercus.plans.staging import discard, staged
+
+COMPACT = 16  # tables that a growing union holds before they are written as one
+
+
+class _Grown:
+    """A union of written tables that grows by rounds without a plan that grows with them."""
+
+    def __init__(self) -> None:
+        self.parts: list[DataFrame] = []
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) == COMPACT:
+            self.parts = [staged(self.frame(), "grown")]
+
+    def frame(self) -> DataFrame:
+        out = self.parts[0]
+        for x in self.parts[1:]:
+            out = out.unionByName(x)
+        return out
 
 
 def nodes(edges: DataFrame) -> DataFrame:
@@ -108,101 +60,100 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, seeds: DataFrame, reverse: bool = False) -> DataFrame:
     """``seed, node``: what each seed (column ``node``) reaches, itself included; breadth first, only new pairs go on."""
-    if (adj := _local(edges)) is not None and len(some := seeds.select("node").distinct().limit(1001).collect()) <= 1000:
-        adj = _turned(adj) if reverse else adj
-        return _frame(edges, [(r.node, x) for r in some for x in _reach(adj, r.node)], "seed", "node")
     a, b = ("dst", "src") if reverse else ("src", "dst")
-    step = edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct()
-    front = staged(seeds.select(F.col("node").alias("seed"), "node").distinct())
-    seen = front
-    for _ in range(MOST):
+    step = staged(edges.select(F.col(a).alias("at"), F.col(b).alias("to")).distinct(), "steps")
+    front = staged(seeds.select(F.col("node").alias("seed"), "node").distinct(), "front")
+    seen = _Grown()
+    while not front.isEmpty():
+        seen.add(front)
         new = front.join(step, F.col("node") == F.col("at")).select("seed", F.col("to").alias("node")).distinct()
-        front = staged(new.join(seen, ["seed", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = staged(seen.union(front))
-    return seen
+        front = staged(new.join(seen.frame(), ["seed", "node"], "left_anti"), "front")
+    return seen.frame() if seen.parts else front
 
 
 def closure(edges: DataFrame) -> DataFrame:
     """Reflexive and transitive closure, by doubling the path length each round."""
-    if (adj := _local(edges, 2000)) is not None:
-        return _frame(edges, [(v, x) for v in adj for x in _reach(adj, v)], "src", "dst")
     own = nodes(edges)
-    pairs = staged(edges.select("src", "dst").union(own.select("node", "node")).distinct())
-    count = pairs.count()
-    for _ in range(MOST):
+    pairs, was = staged(edges.select("src", "dst").union(own.select("node", "node")).distinct(), "closure"), -1
+    while (count := pairs.count()) != was:
+        was = count
         nxt = pairs.alias("p").join(pairs.alias("q"), F.col("p.dst") == F.col("q.src")).select("p.src", "q.dst").distinct()
-        pairs, was = staged(nxt), count
-        count = pairs.count()
-        if count == was:
-            break
+        before, pairs = pairs, staged(nxt, "closure")
+        discard(before)
     return pairs
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: weakly connected components, by the smallest node."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
-    if (adj := _local(both)) is not None:
-        rows, done = [], set()
-        for v in sorted(adj):
-            if v not in done:
-                own = _reach(adj, v)
-                done |= own
-                rows += [(x, v) for x in own]
-        return _frame(edges, rows, "node", "label")
-    return _least(nodes(edges).select("node", F.col("node").alias("label")), staged(both))
+    """``node, label``: weakly connected components, by the smallest node.
+
+    Each round hooks every node to its smallest neighbour's label and then halves the way to the root, so long
+    chains take few rounds.
+    """
+    both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "both-ways")
+    label = staged(nodes(edges).select("node", F.col("node").alias("label")), "labels")
+    while True:
+        near = both.join(label.select(F.col("node").alias("dst"), F.col("label").alias("other")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("other").alias("other"))
+        hooked = label.join(near, "node", "left").select("node", "label", F.least("label", "other").alias("new"))
+        # a label that one of its nodes can lower takes all of them along
+        lower = hooked.groupBy("label").agg(F.min("new").alias("new"))
+        moved = staged(label.join(lower, "label").select("node", F.col("new").alias("label")), "moved")
+        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        nxt = staged(moved.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
+        same = nxt.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
+        discard(moved)
+        discard(label)
+        label = nxt
+        if same:
+            return label
 
 
 def _least(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node along the edges."""
-    labels = staged(labels)
-    for _ in range(MOST):
-        sent = edges.join(labels, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
-        nxt = staged(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")))
-        changed = nxt.join(labels.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
-        labels = nxt
-        if changed:
-            break
-    return labels
+    """Smallest label that reaches each node along the edges; only labels that fell go on."""
+    labels = front = staged(labels, "labels")
+    while True:
+        sent = edges.join(front, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
+        nxt = staged(labels.join(sent, "node", "left").select("node", F.least("label", "sent").alias("label"), (F.col("sent") < F.col("label")).alias("fell")), "labels")
+        labels, front = nxt.select("node", "label"), nxt.where("fell").select("node", "label")
+        if front.isEmpty():
+            return labels
 
 
 def scc(edges: DataFrame) -> DataFrame:
     """``node, scc``: strongly connected components, named by their smallest node.
 
-    Colouring: each node takes the smallest node that reaches it; what reaches that root within its colour is
-    the root's component. Components found are set aside and the rest is coloured again.
+    Nodes without a way in or out among the rest are components of their own and go first. Then colouring: each
+    node takes the smallest node that reaches it; what reaches that root within its colour is the root's component.
+    Components found are set aside and the rest is coloured again.
     """
-    if (adj := _local(edges)) is not None:
-        return _frame(edges, [(x, min(own)) for own in _sccs(adj) for x in own], "node", "scc")
-    left_edges = staged(edges.where("src <> dst").select("src", "dst").distinct())
-    left = staged(nodes(edges))
-    found = None
-    for _ in range(MOST):
+    left_edges = staged(edges.where("src <> dst").select("src", "dst").distinct(), "scc-edges")
+    left = staged(nodes(edges), "scc-nodes")
+    found = _Grown()
+    while not left.isEmpty():
+        inside = left.join(left_edges.select(F.col("dst").alias("node")).distinct(), "node", "left_semi").join(left_edges.select(F.col("src").alias("node")).distinct(), "node", "left_semi")
+        inside = staged(inside, "scc-core")
+        ends = staged(left.join(inside, "node", "left_anti").select("node", F.col("node").alias("scc")), "scc-ends")
+        if not ends.isEmpty():
+            found.add(ends)
+            left, left_edges = inside, staged(induced(left_edges, inside), "scc-edges")
+            continue
         colour = _least(left.select("node", F.col("node").alias("label")), left_edges)
         c1, c2 = colour.select(F.col("node").alias("src"), F.col("label").alias("c1")), colour.select(F.col("node").alias("dst"), F.col("label").alias("c2"))
-        inside = staged(left_edges.join(c1, "src").join(c2, "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        back = _marked(colour.where("node = label"), inside)
-        own = staged(back.select("node", F.col("label").alias("scc")))
-        found = own if found is None else found.union(own)
-        left = staged(left.join(own, "node", "left_anti"))
-        if left.isEmpty():
-            break
-        left_edges = staged(induced(left_edges, left))
-    return found if found is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("scc"))
+        back = staged(left_edges.join(c1, "src").join(c2, "dst").where("c1 = c2").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "scc-back")
+        own = staged(_marked(colour.where("node = label"), back).select("node", F.col("label").alias("scc")), "scc")
+        found.add(own)
+        left = staged(left.join(own, "node", "left_anti"), "scc-nodes")
+        left_edges = staged(induced(left_edges, left), "scc-edges")
+    return found.frame() if found.parts else left.select("node", F.col("node").alias("scc"))
 
 
 def _marked(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes reached from the seeds with the label they bring; each node is reached from one seed only."""
-    seen = staged(seeds.select("node", "label"))
-    front = seen
-    for _ in range(MOST):
+    front, seen = staged(seeds.select("node", "label"), "front"), _Grown()
+    while not front.isEmpty():
+        seen.add(front)
         new = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), "label").distinct()
-        front = staged(new.join(seen, "node", "left_anti"))
-        if front.isEmpty():
-            break
-        seen = staged(seen.union(front))
-    return seen
+        front = staged(new.join(seen.frame(), "node", "left_anti"), "front")
+    return seen.frame() if seen.parts else front
 
 
 def condensation(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -220,26 +171,17 @@ def cyclic(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 def levels(edges: DataFrame, own: DataFrame) -> DataFrame:
     """``node, level`` of an acyclic graph, callees first: 0 without callees, else one more than the highest callee."""
-    if (adj := _local(edges)) is not None and len(some := own.select("node").distinct().limit(SMALL + 1).collect()) <= SMALL:
-        level: dict = {}
-        for v in _finish_order(adj):
-            if any(x not in level for x in adj[v]):
-                raise ValueError("the graph has a cycle")
-            level[v] = 1 + max((level[x] for x in adj[v]), default=-1)
-        kind = own.schema["node"].dataType.simpleString()
-        return own.sparkSession.createDataFrame([(r.node, level.get(r.node, 0)) for r in some], f"node {kind}, level int")
-    left, left_edges = staged(own.select("node").distinct()), staged(edges.select("src", "dst").distinct())
-    out = None
-    for level in range(MOST):
-        if left.isEmpty():
-            break
-        ready = staged(left.join(left_edges, F.col("node") == F.col("src"), "left_anti").select("node", F.lit(level).alias("level")))
+    left, left_edges = staged(own.select("node").distinct(), "level-nodes"), staged(edges.select("src", "dst").distinct(), "level-edges")
+    out, level = _Grown(), 0
+    while not left.isEmpty():
+        ready = staged(left.join(left_edges, F.col("node") == F.col("src"), "left_anti").select("node", F.lit(level).alias("level")), "levels")
         if ready.isEmpty():
             raise ValueError("the graph has a cycle")
-        out = ready if out is None else out.union(ready)
-        left = staged(left.join(ready, "node", "left_anti"))
-        left_edges = staged(left_edges.join(ready, F.col("dst") == F.col("node"), "left_anti"))
-    return out if out is not None else own.select("node", F.lit(0).alias("level"))
+        out.add(ready)
+        left = staged(left.join(ready, "node", "left_anti"), "level-nodes")
+        left_edges = staged(left_edges.join(ready, F.col("dst") == F.col("node"), "left_anti"), "level-edges")
+        level += 1
+    return out.frame() if out.parts else left.select("node", F.lit(0).alias("level"))
 
 
 def callee_first(edges: DataFrame) -> DataFrame:
@@ -249,27 +191,43 @@ def callee_first(edges: DataFrame) -> DataFrame:
     return labels.join(order.select(F.col("node").alias("scc"), "level"), "scc").select("node", "scc", "level")
 
 
-def short_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """``cycle``: one shortest cycle (up to ``longest`` edges) through each node of a cyclic component, equal sets once.
+def components_of(edges: DataFrame, labels: DataFrame, own: DataFrame) -> DataFrame:
+    """``node, scc``: all members of the components (``labels`` as from :func:`scc`) that hold one of ``own`` (column ``node``)."""
+    hit = labels.join(own.select("node").distinct(), "node", "left_semi").select("scc").distinct()
+    return labels.join(hit, "scc", "left_semi").select("node", "scc")
 
-    Walks stay inside a component and begin at its nodes; of walks to the same end the smallest goes on, so a
-    round has at most one row per start and end.
+
+def inside_components(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges whose two ends are in one component of several nodes."""
+    a, b = labels.select(F.col("node").alias("src"), F.col("scc").alias("a")), labels.select(F.col("node").alias("dst"), F.col("scc").alias("b"))
+    return edges.join(a, "src").join(b, "dst").where("a = b and src <> dst").drop("a", "b")
+
+
+def into(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """Edges that end in one of ``own`` (column ``node``)."""
+    return edges.join(own.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(edges.columns)
+
+
+def short_cycles(edges: DataFrame) -> DataFrame:
+    """``cycle``: one shortest cycle through each node of a cyclic component, however long, equal sets once.
+
+    Walks stay inside a component and begin at its nodes. A round goes on only to ends that no shorter walk of the
+    same start has reached, by the smallest path, so each start and end has one row in all and the search ends.
     """
-    labels = staged(scc(edges))
+    labels = staged(scc(edges), "cycle-labels")
     a, b = labels.select(F.col("node").alias("src"), F.col("scc").alias("a")), labels.select(F.col("node").alias("dst"), F.col("scc").alias("b"))
-    inside = staged(edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst").distinct())
-    walks = staged(inside.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path")))
-    done = None
-    for _ in range(longest):
-        closed = staged(walks.where("at = start").groupBy("start").agg(F.min("path").alias("path")))
-        done = closed if done is None else done.union(closed)
-        rest = walks.join(done, "start", "left_anti")
-        walks = rest.join(inside, F.col("at") == F.col("src")).where(~F.array_contains("path", F.col("dst")) | (F.col("dst") == F.col("start")))
-        walks = walks.select("start", F.col("dst").alias("at"), F.array_append("path", F.col("src")).alias("path"))
-        walks = staged(walks.groupBy("start", "at").agg(F.min("path").alias("path")))
-        if walks.isEmpty():
-            break
-    return done.select(F.array_sort("path").alias("cycle")).distinct()
+    inside = staged(edges.join(a, "src").join(b, "dst").where("a = b").select("src", "dst").distinct(), "cycle-edges")
+    front = staged(inside.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("path")), "walks")
+    seen, done = _Grown(), _Grown()
+    seen.add(front.select("start", "at"))
+    done.add(staged(front.where("at = start").select("start", "path"), "cycles"))
+    while not front.isEmpty():
+        rest = front.join(done.frame(), "start", "left_anti")
+        step = rest.join(inside, F.col("at") == F.col("src")).groupBy("start", F.col("dst").alias("at")).agg(F.min(F.array_append("path", F.col("src"))).alias("path"))
+        front = staged(step.join(seen.frame(), ["start", "at"], "left_anti"), "walks")
+        seen.add(front.select("start", "at"))
+        done.add(staged(front.where("at = start").select("start", "path"), "cycles"))
+    return done.frame().select(F.array_sort("path").alias("cycle")).distinct()
 
 
 def weakest_links(weighted: DataFrame, cycles: DataFrame) -> DataFrame:
@@ -279,9 +237,19 @@ def weakest_links(weighted: DataFrame, cycles: DataFrame) -> DataFrame:
     return best.select("cycle", "w.src", "w.dst", "w.weight")
 
 
-def dot(edges: DataFrame, label: str | None = None) -> DataFrame:
-    """``line``: the lines of a graph description, edges in any order between the first and last."""
-    text = F.concat(F.lit('  "'), F.col("src"), F.lit('" -> "'), F.col("dst"), F.lit('"'), F.concat(F.lit(' [label="'), F.col(label), F.lit('"]')) if label else F.lit(""), F.lit(";"))
+def dot(edges: DataFrame, label: str | None = None, mark: str | None = None) -> DataFrame:
+    """``line``: the lines of a graph description, edges in any order between the first and last; edges with ``mark`` in red."""
+    text = F.concat(F.lit('  "'), F.col("src").cast("string"), F.lit('" -> "'), F.col("dst").cast("string"), F.lit('"'))
+    looks = [F.concat(F.lit('label="'), F.col(label).cast("string"), F.lit('"'))] if label else []
+    looks += [F.when(F.col(mark), "color=red")] if mark else []
+    inner = F.concat_ws(", ", *looks) if looks else F.lit("")
+    text = F.concat(text, F.when(inner != "", F.concat(F.lit(" ["), inner, F.lit("]"))).otherwise(""), F.lit(";"))
     one = edges.sparkSession.range(1)
     lines = edges.select(F.lit(1).alias("k"), text.alias("line"))
     return one.select(F.lit(0).alias("k"), F.lit("digraph g {").alias("line")).union(lines).union(one.select(F.lit(2), F.lit("}")))
+
+
+def label_size(label) -> tuple:
+    """Columns: the width (longest line) and height (lines) of a label's box."""
+    lines = F.split(label, "\n")
+    return F.array_max(F.transform(lines, F.length)).alias("width"), F.size(lines).alias("height")

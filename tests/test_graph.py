@@ -16,13 +16,11 @@ def brute(edges):
     return own, reach
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_against_brute_force(spark, monkeypatch, small):
-    """The driver's way and the distributed loops give the same, equal to a plain closure."""
-    if not small:
-        monkeypatch.setattr(graph, "_local", lambda *a: None)
-    rnd = random.Random(5)
-    n = 12 if small else 7
+@pytest.mark.parametrize("seed", [5, 6])
+def test_against_brute_force(spark, seed):
+    """Equal to a plain closure."""
+    rnd = random.Random(seed)
+    n = 9
     edges = sorted({(rnd.randrange(n), rnd.randrange(n)) for _ in range(n + 2)})
     df = spark.createDataFrame(edges, "src long, dst long")
     own, reach = brute(edges)
@@ -50,3 +48,16 @@ def test_empty_and_self_edges(spark):
     one = spark.createDataFrame([(1, 1), (1, 2)], "src long, dst long")
     assert sorted(tuple(r) for r in graph.scc(one).collect()) == [(1, 1), (2, 2)]
     assert [r.scc for r in graph.cyclic(one, graph.scc(one)).collect()] == [1]
+
+
+def test_long_ways(spark):
+    """More rounds than a union of rounds holds as it is, and a cycle of many nodes."""
+    n = 2 * graph.COMPACT + 3
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "src long, dst long")
+    assert {r.node: r.level for r in graph.levels(chain, graph.nodes(chain)).collect()} == {i: n - i for i in range(n + 1)}
+    assert {r.label for r in graph.components(chain).collect()} == {0}
+    ring = spark.createDataFrame([(i, (i + 1) % 9) for i in range(9)] + [(3, 20)], "src long, dst long")
+    assert [r.cycle for r in graph.short_cycles(ring).collect()] == [list(range(9))]
+    labels = graph.scc(ring)
+    assert {r.node for r in graph.components_of(ring, labels, spark.createDataFrame([(4,)], "node long")).collect()} == set(range(9))
+    assert graph.inside_components(ring, labels).count() == 9 and graph.into(ring, spark.createDataFrame([(20,)], "node long")).count() == 1
