@@ -3,8 +3,8 @@
 The terms of a text are its words (lower-cased), the surface forms of its words
 (letters, capitals, digits and signs, runs of a kind taken once) and marks for
 repeated words, pairs and lines. A bounded sample of labelled texts gives the
-vocabulary and, by a singular value decomposition of the weighted term matrix,
-the latent space; how many documents hold a term is counted over all of them.
+vocabulary and, by the leading singular vectors of the weighted term matrix, the
+latent space; how many documents hold a term is counted over all of them.
 The labelled vectors (``max_labelled`` times ``dims`` numbers, whatever the size
 of the corpus) are broadcast; each text is compared with all of them by exact
 blocked cosine products, and the labels of its nearest neighbours vote with
@@ -125,19 +125,37 @@ def fit(sample: list[tuple[str | None, int]], model: VotingModel = VotingModel()
         total = len(sample)
     kind = np.asarray([model.word_weight if k[:1] == WORD else 1.0 for k in own])
     space.weight = (np.log((1 + total) / (1 + counts)) + 0.1) * kind
-    x = np.zeros((len(sample), len(own)))
-    for i, (at, w) in enumerate(held):
-        x[i, at] = w * space.weight[at]
-    # the smaller of the two products has the same singular values
-    small = x @ x.T if len(sample) <= len(own) else x.T @ x
-    values, vectors = np.linalg.eigh(small) if small.size else (np.zeros(0), np.zeros((0, 0)))
-    top = np.argsort(-values)[: model.dims]
-    basis = x.T @ vectors[:, top] / np.sqrt(np.maximum(values[top], 1e-12)) if len(sample) <= len(own) else vectors[:, top]
-    space.basis = np.ascontiguousarray(basis[:, values[top] > 1e-9 * values[top].max(initial=0)])
+    space.basis = _leading([(at, w * space.weight[at]) for at, w in held], len(own), model.dims)
     space.vectors = space.embed([t for t, _ in sample]) if sample else np.zeros((0, space.basis.shape[1]))
     return space
 
 
+def _leading(rows: list[tuple[np.ndarray, np.ndarray]], width: int, dims: int, rounds: int = 10, block: int = 256) -> np.ndarray:
+    """The leading right singular vectors of a matrix of sparse rows, by subspace iteration; only a block of rows is ever dense."""
+    some = min(dims + 8, width, len(rows))
+    if not some:
+        return np.zeros((width, 0))
+
+    def times(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(A'A q, q'A'A q) of the matrix A."""
+        out, small = np.zeros((width, q.shape[1])), np.zeros((q.shape[1],) * 2)
+        for a in range(0, len(rows), block):
+            x = np.zeros((min(block, len(rows) - a), width))
+            for i, (at, w) in enumerate(rows[a : a + block]):
+                x[i, at] = w
+            y = x @ q
+            out += x.T @ y
+            small += y.T @ y
+        return out, small
+
+    q = np.linalg.qr(np.random.Generator(np.random.PCG64(7)).standard_normal((width, some)))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(times(q)[0])[0]
+    values, turn = np.linalg.eigh(times(q)[1])
+    top = [i for i in np.argsort(-values)[:dims] if values[i] > 1e-9 * values.max(initial=0)]
+    return np.ascontiguousarray(q @ turn[:, top])
+
+
 def vote(space: Space, docs: list[str | None], model: VotingModel = VotingModel()) -> np.ndarray:
     """Scores from 0 to 1: the share of label 1 in the neighbours' similarity; no neighbour: the share in the sample.
 
