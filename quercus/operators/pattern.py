@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quercus.operators.edits import Refused
 from quercus.sources.parser import Node, parse_forms
 from quercus.sources.tokenizer import LexError
 from quercus.trees.annotate import Module, annotate, calls_in, name_of
@@ -229,28 +230,49 @@ def rewrite_text(text: str, rules: list[Rule], strategy: str = "full_td", ctx_ex
     return text
 
 
-CHANGES = "path string, old_content string, new_content string"
+CHANGES = "path string, old_content string, new_content string, error string"
 
 
 def transform(files: DataFrame, rules: list[Rule], strategy: str = "full_td") -> DataFrame:
-    """``path, old_content, new_content`` of the files that the rules change; nothing is written."""
+    """``path, old_content, new_content, error`` of the files that the rules change; nothing is written."""
     words = [_words(template(r.before)) for r in rules]
     return rewrite_files(_prefilter(files, words), lambda text: rewrite_text(text, rules, strategy))
 
 
 def rewrite_files(files: DataFrame, edit: Callable[[str], str]) -> DataFrame:
-    """The files that ``edit`` (text to text) changes."""
+    """The files that ``edit`` (text to text) changes; a file that it refuses has a row with the error and no new text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            old = pdf.content.fillna("")
-            new = old.map(edit)
-            keep = new != old
-            yield pd.DataFrame({"path": pdf.path[keep], "old_content": old[keep], "new_content": new[keep]})
+            rows = []
+            for path, old in zip(pdf.path, pdf.content, strict=True):
+                old = old or ""
+                try:
+                    new = edit(old)
+                except (Refused, LexError, RecursionError) as e:
+                    rows.append((path, old, None, str(e) or type(e).__name__))
+                    continue
+                if new != old:
+                    rows.append((path, old, new, None))
+            yield pd.DataFrame(rows, columns=[x.split(" ")[0] for x in CHANGES.split(", ")], dtype=object)
 
     return files.select("path", "content").mapInPandas(run, CHANGES)
 
 
+def changed_lines(changes: DataFrame) -> DataFrame:
+    """``path, kind, line, text``: lines of the new text that the old one has not (+), and the other way round (-)."""
+    cut = lambda c: changes.where("error is null").select("path", F.posexplode(F.split(c, "\n")).alias("at", "text"))
+    old, new = cut("old_content"), cut("new_content")
+    row = lambda df, other, kind: df.join(other.select("path", "text").distinct(), ["path", "text"], "left_anti").select("path", F.lit(kind).alias("kind"), (F.col("at") + 1).alias("line"), "text")
+    return row(new, old, "+").union(row(old, new, "-"))
+
+
+def candidates(changes: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
+    """``key, path, old_content, new_content``: the proposed edits by a key of file and content, without rejected keys."""
+    own = changes.where("error is null").select(F.md5(F.concat_ws("\n", "path", "old_content", "new_content")).alias("key"), "path", "old_content", "new_content")
+    return own if rejected is None else own.join(rejected.select("key").distinct(), "key", "left_anti")
+
+
 def apply_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
     """The code base after the changes: a new DataFrame, so going back is keeping the old one."""
     from quercus.sources.files import _complete
