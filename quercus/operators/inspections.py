@@ -259,6 +259,65 @@ def atom_types(s: Stages) -> DataFrame:
     return atoms.join(s.files.select("file_id", "module"), "file_id").select("module", "value", "role", "n")
 
 
+def callback_functions(s: Stages) -> DataFrame:
+    """``module, f, a, behaviour``: functions that a declared behaviour asks for, one of the library's or of the code base."""
+    own = behaviours(s)
+    rows = [(b, *x.split("/")) for b, names in CALLBACK.items() for x in names.split()]
+    known = s.files.sparkSession.createDataFrame([(b, f, int(a)) for b, f, a in rows], "behaviour string, f string, a int")
+    toks = F.regexp_extract("value", r"^\s*'?([A-Za-z_]\w*)", 1)
+    declared = s.attributes.where("name = 'callback'").join(s.files.select("file_id", F.col("module").alias("behaviour")), "file_id")
+    inner = F.regexp_extract("value", r"\(([^()]*(?:\([^()]*\)[^()]*)*)\)\s*->", 1)
+    flat = F.regexp_replace(F.regexp_replace(inner, r"\([^()]*\)", ""), r"[{\[][^{}\[\]]*[}\]]", "")
+    arity = F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(flat, ",")))
+    known = known.unionByName(declared.select("behaviour", toks.alias("f"), arity.cast("int").alias("a")))
+    fun = s.functions.select("file_id", "f", "a").join(s.files.select("file_id", "module"), "file_id").drop("file_id")
+    return own.join(known, "behaviour").join(fun, ["module", "f", "a"]).select("module", "f", "a", "behaviour").distinct()
+
+
+def applications_within(s: Stages, m: str, f: str, a: int) -> DataFrame:
+    """``callee, line, shape``: what one function applies, in the order of its lines."""
+    name = F.concat(F.coalesce("callee_m", F.lit("?")), F.lit(":"), F.coalesce("callee_f", F.lit("?")), F.lit("/"), F.coalesce(F.col("callee_a").cast("string"), F.lit("?")))
+    return s.calls.where((F.col("m") == m) & (F.col("f") == f) & (F.col("a") == a)).select(name.alias("callee"), "line", "shape")
+
+
+def pattern_kinds(s: Stages) -> DataFrame:
+    """``module, f, a, kind``: what the parameters of a function's clauses are: variable, literal, mixed, or none without parameters."""
+    n = s.ast_nodes
+    clause = n.where("type = 'clause' and ctx = 'function.1'").select("file_id", F.col("node_id").alias("c"), "f", "a")
+    part = n.where("group_idx = 0").select("file_id", F.col("parent_id").alias("c"), "type")
+    kind = F.when(F.col("type").isin("variable", "underscore"), "variable").when(F.col("type").isin("atom", "integer", "float", "string", "char", "nil"), "literal").otherwise("mixed")
+    per = clause.join(part, ["file_id", "c"], "left").withColumn("kind", F.when(F.col("type").isNotNull(), kind))
+    found = per.groupBy(*KEY).agg(F.countDistinct("kind").alias("n"), F.min("kind").alias("one"))
+    found = found.withColumn("kind", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, F.col("one")).otherwise("mixed"))
+    return found.join(s.files.select("file_id", "module"), "file_id").select("module", "f", "a", "kind")
+
+
+def common_callees(s: Stages, modules: list[str]) -> DataFrame:
+    """``module``: what every one of the given modules calls."""
+    want = len(set(modules))
+    e = s.module_edges.select("src", "dst").distinct().where(F.col("src").isin(*set(modules)))
+    return e.groupBy(F.col("dst").alias("module")).agg(F.count("*").alias("n")).where(F.col("n") == want).select("module")
+
+
+def unmoveable(s: Stages) -> DataFrame:
+    """``mfa, why``: functions that cannot leave their module alone: they reach a server library, or what they reach is called from outside of it."""
+    edges = staged(s.call_edges)
+    own = s.functions.select(mfa("m", "f", "a").alias("node"))
+    reach = staged(graph.reachable(edges, own).select(F.col("seed").alias("mfa"), "node"))
+    library = s.external_calls.where(F.col("dst").startswith("gen_server:")).select(F.col("src").alias("node")).distinct()
+    to_library = reach.join(library, "node", "left_semi").select("mfa").distinct()
+    # closed: every caller of what the function reaches, but itself, is reached by it too
+    back = reach.where("node <> mfa").join(edges.select(F.col("dst").alias("node"), F.col("src").alias("caller")), "node")
+    inside = reach.select("mfa", F.col("node").alias("caller"))
+    open_ = back.join(inside, ["mfa", "caller"], "left_anti").select("mfa").distinct()
+    return to_library.withColumn("why", F.lit("server")).union(open_.join(to_library, "mfa", "left_anti").withColumn("why", F.lit("shared")))
+
+
+def macro_uses(s: Stages) -> DataFrame:
+    """``module, f, a, macro, n``: how often each function uses each macro."""
+    return s.ast_nodes.where("type = 'macro'").groupBy("file_id", "f", "a", F.col("value").alias("macro")).agg(F.count("*").alias("n")).join(s.files.select("file_id", "module"), "file_id").select("module", "f", "a", "macro", "n")
+
+
 def run_all(s: Stages, inspectors: list[tuple[str, Callable[[Stages], DataFrame]]]) -> DataFrame:
     """``inspector, message``: each row of each inspection as one message."""
     parts = [f(s).select(F.lit(name).alias("inspector"), F.to_json(F.struct("*")).alias("message")) for name, f in inspectors]

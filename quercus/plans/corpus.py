@@ -182,6 +182,37 @@ LATER = {
 }
 
 
+#: Behaviours of the code base and of the library, and modules that have them.
+WITH_CALLBACKS = {
+    "src/worker.erl": "-module(worker).\n-callback start() -> pid().\n-callback add(integer(), {integer(), integer()}) -> integer().\n",
+    "src/adder.erl": "-module(adder).\n-behaviour(worker).\n-export([start/0, add/2, add/3]).\nstart() -> self().\nadd(A, {B, C}) -> A + B + C.\nadd(A, B, C) -> A + B + C.\n",
+    "src/keeper.erl": "-module(keeper).\n-behaviour(gen_server).\n-export([init/1, handle_call/3]).\ninit(X) -> {ok, X}.\nhandle_call(R, _, S) -> {reply, R, S}.\nhelp(X) -> X.\n",
+}
+
+#: Modules with macros, and the headers they include.
+WITH_MACROS = {
+    "src/mac.erl": """-module(mac).
+-include("units.hrl").
+-define(ADD(X, Y), X + Y * ?SCALE).
+-define(SHOW(X), {??X, X}).
+-ifdef(DEBUG).
+-define(LOG(M), io:format(M)).
+-else.
+-define(LOG(M), ok).
+-endif.
+sum(Z) -> ?ADD(Z, length([1, 2])).
+show(Z) -> ?LOG("x"), ?SHOW(Z + 1).
+who() -> {?MODULE, ?LINE, ?BASE}.
+bad() -> ?NONE.
+""",
+    "src/plain.erl": """-module(plain).
+-include("gone.hrl").
+f() -> 1.
+""",
+}
+HEADERS = {"include/units.hrl": '-include("base.hrl").\n-define(SCALE, 60).\n-record(unit, {name}).\n', "include/base.hrl": "-define(BASE, base).\n"}
+
+
 def files(spark: SparkSession, later: bool = False) -> DataFrame:
     return from_strings(spark, LATER if later else FILES)
 

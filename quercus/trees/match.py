@@ -36,6 +36,10 @@ def is_list_meta(n: Node) -> bool:
 def same(a: Node | list[Node], b: Node | list[Node]) -> bool:
     """Equal but for layout, and equal in which variables are bound where."""
     xs, ys = (a if isinstance(a, list) else [a]), (b if isinstance(b, list) else [b])
+    if len(xs) == len(ys) == 1 and xs[0].type == ys[0].type == "variable" and xs[0].value == ys[0].value:
+        # where it is bound and where it is used are one variable
+        own = [set(n.info.get("def") or ()) | ({n.start} if n.info.get("role") == "bind" else set()) for n in (xs[0], ys[0])]
+        return bool(own[0] & own[1]) or not (own[0] and own[1])
     return [shape(x) for x in xs] == [shape(y) for y in ys] and structure(xs) == structure(ys)
 
 
