@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from quercus.plans import code, samples, tables  # noqa: F401
+    from quercus.plans import code, golden, samples, tables  # noqa: F401
