@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -45,7 +46,35 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append((spark, path))
+    out = spark.read.schema(df.schema).parquet(path)
+    out._q_path = path
+    return out
+
+
+_SCOPES: list[list[tuple[SparkSession, str]]] = []
+
+
+def disposable(f: Callable) -> Callable:
+    """``f``, of which the results are written tables: the tables that it wrote on the way go when it returns."""
+
+    @functools.wraps(f)
+    def run(*args, **named):
+        _SCOPES.append([])
+        try:
+            out = f(*args, **named)
+        finally:
+            made = _SCOPES.pop()
+        keep = {x._q_path for x in (out if isinstance(out, tuple) else (out,))}
+        for spark, path in made:
+            if path not in keep:
+                _remove(spark, path)
+            elif _SCOPES:
+                _SCOPES[-1].append((spark, path))
+        return out
+
+    return run
 
 
 def drop(df: DataFrame) -> None:

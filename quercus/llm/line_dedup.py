@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import MAYBE, bitmap, join_skewed, may_hold, written
+from quercus.llm.common import MAYBE, bitmap, disposable, join_skewed, may_hold, written
 
 MIN_TOKENS, MIN_DOCS, DEPTH, STAY = 5, 3, 3, 0.6
 ANY = "<*>"
@@ -77,6 +77,7 @@ def _several(lines: DataFrame) -> DataFrame:
     return lines.join(lines.groupBy("leaf").agg(F.count("*").alias("q_n")).where("q_n > 2").select("leaf"), "leaf", "left_semi")
 
 
+@disposable
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, drop``: the places (from 0) of the lines to drop, for documents that have some.
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from quercus.llm.bpe import codec
 from quercus.llm.common import slices, texts, trimmed, written
 
 WINDOW = 1024
-SALTED = 1 << 18  # pieces of a length that are ranked together, about
+SALTED = 1 << 10  # pieces of a length that are ranked together, or the root of their number where that is more
 BEYOND = 1 << 42  # more pieces of one length than there can be
 
 
@@ -141,8 +142,8 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, salt
     hist = np.zeros(window + 1, np.int64)
     for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect():  # window rows at most
         hist[r.length] = r.n
-    # as many groups of a length as its pieces need: a group stays of one size however many there are
-    salts = F.element_at(F.array(*(F.lit(int(1 + x // salted)) for x in hist)), F.col("length").cast("int") + 1)
+    # the groups of a length and the pieces in one grow alike, so neither their sums nor their ranks gather in one task
+    salts = F.element_at(F.array(*(F.lit(1 + int(x) // max(salted, isqrt(int(x)))) for x in hist)), F.col("length").cast("int") + 1)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), salts))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     count = cut.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quercus.llm.common import MAYBE, bitmap, bounded, drop, join_skewed, may_hold, slices, texts, trimmed, written
+from quercus.llm.common import MAYBE, bitmap, bounded, disposable, drop, join_skewed, may_hold, slices, texts, trimmed, written
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 CROWDED = 256  # nodes of a bucket that is dealt out again
@@ -185,6 +185,7 @@ def _edges(groups: DataFrame, radius: int) -> DataFrame:
     return groups.select("fps").mapInArrow(run, "u long, v long")
 
 
+@disposable
 def links(nodes: DataFrame, radius: int = 3, crowded: int = CROWDED) -> DataFrame:
     """Edges ``u > v`` between different fingerprints (column ``fp``) that connect all pairs within ``radius``.
 
@@ -240,6 +241,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("the components did not settle")
 
 
+@disposable
 def named(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, n, component_id, rows, keep_id, keep_node`` of each of ``nodes`` (``node, n, least``: how many rows, smallest id).
 
@@ -266,6 +268,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, crowded:
     return join_skewed(fps, of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@disposable
 def _named_fps(fps: DataFrame, radius: int, crowded: int, id_col: str) -> DataFrame:
     nodes = written(fps.groupBy(F.col("fp").alias("node")).agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "simhash-nodes")
     return named(nodes, links(nodes.select(F.col("node").alias("fp")), radius, crowded))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quercus.llm.common import MAYBE, bitmap, bounded, join_skewed, may_hold, slices, texts, trimmed, written
+from quercus.llm.common import MAYBE, bitmap, bounded, disposable, join_skewed, may_hold, slices, texts, trimmed, written
 from quercus.llm.simhash import xxh64
 
 EVERY = 4  # of words, one in so many ends a chunk by its hash
@@ -139,12 +139,34 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     null, an empty one empty. A very long text is chunked whole, long words inside. An empty table gives no rows.
     """
     bounded(docs.sparkSession)
+    dup = _duplicates(docs, id_col, text_col)
+    own = _names(docs)
+    known = may_hold(docs, id_col, written(bitmap(dup, "id"), "chunk-doc-bits"))
+    with_dup = known.where(MAYBE).drop(MAYBE).join(dup.withColumnsRenamed({"id": own["id"], "dup": own["dup"]}), F.col(id_col) == F.col(own["id"]), "left").drop(own["id"])
+    without = known.where(~F.col(MAYBE)).drop(MAYBE).withColumn(own["dup"], F.lit(None).cast("array<bigint>"))
+    names = docs.columns
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col, 1 << 20):
+                dups = [None if not x.is_valid else x.values.to_numpy().view(np.uint64) for x in part.column(len(names))]
+                found = strip(part.column(text_col).to_pylist(), dups, least)
+                cols = [pa.array([x[0] for x in found], part.schema.field(n).type) if n == text_col else part.column(n) for n in names]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], [*names, own["n"], own["k"], own["b"]])
+
+    schema = StructType([*docs.schema.fields, *(StructField(own[x], LongType()) for x in ("n", "k", "b"))])
+    return with_dup.union(without).mapInArrow(trimmed(clean), schema)
+
+
+@disposable
+def _duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, dup``: the digests of a document's chunks that another document keeps."""
     src = texts(docs, id_col, text_col).where("id is not null")
     names_of = "id long, digest long, check int"
 
     def digests(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 owner, *_, digest, check = chunks([(t or "").encode() for t in part.column("text").to_pylist()])
                 if bits is not None:
                     hit = (bits[(digest >> np.uint64(6)) % np.uint64(BITS)] >> (digest & np.uint64(63))) & np.uint64(1) == 1
@@ -162,23 +184,7 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     bits = docs.sparkSession.sparkContext.broadcast(_bits(shared))
     again = src.mapInArrow(trimmed(lambda batches: digests(batches, bits.value)), names_of)
     dup = join_skewed(again, shared, ["digest", "check"]).where("id > owner")
-    dup = written(dup.groupBy("id").agg(F.collect_set("digest").alias("dup")), "chunk-duplicates")
-    own = _names(docs)
-    known = may_hold(docs, id_col, written(bitmap(dup, "id"), "chunk-doc-bits"))
-    with_dup = known.where(MAYBE).drop(MAYBE).join(dup.withColumnsRenamed({"id": own["id"], "dup": own["dup"]}), F.col(id_col) == F.col(own["id"]), "left").drop(own["id"])
-    without = known.where(~F.col(MAYBE)).drop(MAYBE).withColumn(own["dup"], F.lit(None).cast("array<bigint>"))
-    names = docs.columns
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text_col):
-                dups = [None if not x.is_valid else x.values.to_numpy().view(np.uint64) for x in part.column(len(names))]
-                found = strip(part.column(text_col).to_pylist(), dups, least)
-                cols = [pa.array([x[0] for x in found], part.schema.field(n).type) if n == text_col else part.column(n) for n in names]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.array([x[i] for x in found], pa.int64()) for i in (1, 2, 3))], [*names, own["n"], own["k"], own["b"]])
-
-    schema = StructType([*docs.schema.fields, *(StructField(own[x], LongType()) for x in ("n", "k", "b"))])
-    return with_dup.union(without).mapInArrow(trimmed(clean), schema)
+    return written(dup.groupBy("id").agg(F.collect_set("digest").alias("dup")), "chunk-duplicates")
 
 
 def _bits(shared: DataFrame) -> np.ndarray:
