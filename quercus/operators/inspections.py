@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quercus.operators import graph
@@ -31,11 +31,14 @@ def large_modules(s: Stages, lines: int) -> DataFrame:
 
 
 def nested(s: Stages, kind: str, depth: int) -> DataFrame:
-    """Functions with ``kind`` (case, if or receive) expressions nested ``depth`` or more deep."""
-    n = s.ast_nodes.where(F.col("type") == f"{kind}_expr").select(*KEY, "pre", "post", "start_line")
-    o = n.select(*KEY, F.col("pre").alias("o_pre"), F.col("post").alias("o_post"))
-    level = n.join(o, KEY).where("o_pre <= pre and post <= o_post").groupBy(*KEY, "pre", "start_line").agg(F.count("*").alias("level"))
-    return level.groupBy(*KEY).agg(F.max("level").alias("level")).where(F.col("level") >= depth).join(s.files.select("file_id", "module"), "file_id").select("module", "f", "a", "level")
+    """Functions with ``kind`` (case, if or receive) expressions nested ``depth`` or more deep.
+
+    An expression opens at its first node and closes after its last; how many are open is a running sum.
+    """
+    n = s.ast_nodes.where(F.col("type") == f"{kind}_expr").select(*KEY, "pre", "post")
+    events = n.select(*KEY, (2 * F.col("pre")).alias("at"), F.lit(1).alias("step")).union(n.select(*KEY, 2 * F.col("post") + 1, F.lit(-1)))
+    level = F.sum("step").over(_by(*KEY).orderBy("at", F.desc("step")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return events.withColumn("level", level).groupBy(*KEY).agg(F.max("level").alias("level")).where(F.col("level") >= depth).join(s.files.select("file_id", "module"), "file_id").select("module", "f", "a", "level")
 
 
 def callers(s: Stages, m: str, f: str, a: int) -> DataFrame:
@@ -207,8 +210,6 @@ def api_classes(s: Stages, score: float = 0.8) -> DataFrame:
 
 
 def _by(*cols):
-    from pyspark.sql import Window
-
     return Window.partitionBy(*cols)
 
 

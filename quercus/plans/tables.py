@@ -12,8 +12,11 @@ from quercus.plans.staging import staged
 WORD = r"[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^ \t\n\x0b\f\rA-Za-z0-9_]"
 
 
+PLAIN = r"[^ \t\n\x0b\f\r]+"  # words of any script, as white space parts them
+
+
 def _words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("words"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("words"))
 
 
 # -- tokens, masks, lines ------------------------------------------------------------------
@@ -48,14 +51,14 @@ def token_abstraction(spark, sf_dir):
 
 @query(
     "identical_texts",
-    """SELECT md5(text) AS key, count(*) AS freq, list_sort(list(doc_id)) AS members FROM documents
-       WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) >= 2""",
+    """WITH d AS (SELECT doc_id, min(doc_id) OVER w AS first_doc, count(*) OVER w AS freq FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY text))
+       SELECT doc_id, first_doc, freq FROM d WHERE freq >= 2""",
 )
 def identical_texts(spark, sf_dir):
-    """Exact clone classes; only digests and ids are shuffled, and members gather only for classes that have several."""
+    """Exact clone classes: a row for each member with its class's first; only digests and ids are shuffled, and no class is gathered."""
     keyed = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5("text").alias("key"))
-    several = keyed.groupBy("key").agg(F.count("*").alias("freq")).where("freq >= 2")
-    return keyed.join(several, "key").groupBy("key", "freq").agg(F.array_sort(F.collect_list("doc_id")).alias("members")).select("key", "freq", "members")
+    several = keyed.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("freq")).where("freq >= 2")
+    return keyed.join(several, "key").select("doc_id", "first_doc", "freq")
 
 
 @query(
@@ -75,39 +78,43 @@ K, MIN_FREQ = 8, 3
 
 
 def _grams(spark, sf_dir):
-    """``doc_id, i, gram``: the hash of the K words from place i on."""
-    words = _words(spark, sf_dir).where(F.size("words") >= K)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - K + 1), lambda i: F.xxhash64(F.slice("words", i, K)))
-    return words.select("doc_id", F.posexplode(grams).alias("i", "gram"))
+    """``doc_id, i, gram, check``: two hashes (96 bits) of the K words from place i on; words are hashed once."""
+    words = _words(spark, sf_dir).where(F.size("words") >= K).select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
+    part = F.transform(F.sequence(F.lit(1), F.size("hs") - K + 1), lambda i: F.slice("hs", i, K))
+    grams = words.select("doc_id", F.posexplode(part).alias("i", "part"))
+    return grams.select("doc_id", "i", F.xxhash64("part").alias("gram"), F.hash("part").alias("check"))
 
 
 @query(
     "repeated_sequences",
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words FROM documents),
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{PLAIN}') AS words FROM documents),
         g AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - {K} + 2), lambda i: array_to_string(words[i:i + {K - 1}], ' '))) AS gram FROM w WHERE len(words) >= {K}),
         f AS (SELECT gram, count(*) AS freq, count(DISTINCT doc_id) AS docs FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= {MIN_FREQ})
         SELECT freq, docs, count(*) AS sequences FROM f GROUP BY freq, docs""",
 )
 def repeated_sequences(spark, sf_dir):
     """How many K-word sequences recur how often in at least MIN_FREQ documents."""
-    per = _grams(spark, sf_dir).groupBy("gram", "doc_id").agg(F.count("*").alias("n"))
-    found = per.groupBy("gram").agg(F.sum("n").alias("freq"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ)
+    per = _grams(spark, sf_dir).groupBy("gram", "check", "doc_id").agg(F.count("*").alias("n"))
+    found = per.groupBy("gram", "check").agg(F.sum("n").alias("freq"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ)
     return found.groupBy("freq", "docs").agg(F.count("*").alias("sequences"))
 
 
 @query(
     "maximal_repeats",
-    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]+') AS words FROM documents),
+    f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{PLAIN}') AS words FROM documents),
         g AS (SELECT doc_id, unnest(range(0, len(words) - {K} + 1)) AS i, unnest(list_transform(range(1, len(words) - {K} + 2), lambda i: array_to_string(words[i:i + {K - 1}], ' '))) AS gram FROM w WHERE len(words) >= {K}),
         f AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT doc_id) >= {MIN_FREQ}),
         p AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM g JOIN f USING (gram))
         SELECT doc_id, min(i) AS start_word, max(i) + {K} AS end_word, max(i) - min(i) + {K} AS len FROM p GROUP BY doc_id, island""",
 )
 def maximal_repeats(spark, sf_dir):
-    """Adjacent repeated sequences joined into spans: gaps and islands over the places of each document."""
-    grams = _grams(spark, sf_dir)
-    found = grams.select("gram", "doc_id").distinct().groupBy("gram").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ).select("gram")
-    place = grams.join(staged(found, "repeated"), "gram").select("doc_id", "i")
+    """Adjacent repeated sequences joined into spans: gaps and islands over the places of each document.
+
+    Sequences are made once and written; the few that recur come back to their places.
+    """
+    grams = staged(_grams(spark, sf_dir), "grams")
+    found = grams.select("gram", "check", "doc_id").distinct().groupBy("gram", "check").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ).select("gram", "check")
+    place = grams.join(staged(found, "repeated"), ["gram", "check"]).select("doc_id", "i")
     island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
     spans = place.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
     return spans.select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") + K).cast("long").alias("end_word"), (F.col("b") - F.col("a") + K).cast("long").alias("len"))
@@ -166,13 +173,23 @@ def interval_containment(spark, sf_dir):
        SELECT o_custkey, count(*) AS kept FROM k WHERE kept GROUP BY o_custkey""",
 )
 def ordered_overlap_removal(spark, sf_dir):
-    """Ranges of 90 days from each order on; in order, a range stays if it does not overlap the last that stayed."""
+    """Ranges of 90 days from each order on; in order, a range stays if it does not overlap the last that stayed.
+
+    Each range knows the first after it that it does not overlap (a window over starts and ends); from a customer's first
+    the chain is followed by doubling the jumps, so a round joins what the one before left and no list is gathered.
+    """
     days = 90 * 86_400_000_000
-    o = table(spark, sf_dir, "orders").select("o_custkey", F.struct(F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"), "o_orderkey").alias("x"))
-    lists = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    start = F.struct(F.lit(-(1 << 62)).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    kept = F.aggregate("xs", start, lambda s, x: F.when(x["t"] >= s["last"] + days, F.struct(x["t"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s))
-    return lists.select("o_custkey", kept["n"].alias("kept"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    start = o.select("o_custkey", "t", F.lit(1).alias("kind"), "o_orderkey")
+    end = o.select("o_custkey", (F.col("t") + days).alias("t"), F.lit(0).alias("kind"), "o_orderkey")
+    later = Window.partitionBy("o_custkey").orderBy("t", "kind", "o_orderkey").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    both = end.union(start).withColumn("to", F.first(F.when(F.col("kind") == 1, F.col("o_orderkey")), True).over(later))
+    jump = staged(both.where("kind = 0 and to is not null").select(F.col("o_orderkey").alias("at"), "to"), "jumps")
+    kept = staged(o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("t", "o_orderkey")).alias("at")), "kept")
+    while not jump.isEmpty():
+        kept = staged(kept.union(kept.join(jump, "at").select("o_custkey", "to")).distinct(), "kept")
+        jump = staged(jump.alias("a").join(jump.alias("b"), F.col("a.to") == F.col("b.at")).select("a.at", "b.to"), "jumps")
+    return kept.groupBy("o_custkey").agg(F.count("*").alias("kept"))
 
 
 @query(
@@ -294,14 +311,14 @@ def small_cluster_grouping(spark, sf_dir):
 
 
 def _sets(spark, sf_dir):
-    """``a, x``: the brands that the suppliers of each nation deliver at a large size (25 nations at most)."""
+    """``a, x``: the parts (by brand and a seventh of the keys) that the suppliers of each nation deliver."""
     li, p, s = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"), table(spark, sf_dir, "supplier")
     keys = li.select("l_partkey", "l_suppkey").distinct()
-    joined = keys.join(p.where("p_size > 40").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    joined = keys.join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return staged(joined.select(F.col("s_nationkey").alias("a"), F.concat("p_brand", F.lit("/"), (F.col("p_partkey") % 7).cast("string")).alias("x")).distinct())
 
 
-_SETS_SQL = """s AS (SELECT DISTINCT s_nationkey AS a, p_brand || '/' || (p_partkey % 7)::VARCHAR AS x FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE p_size > 40),
+_SETS_SQL = """s AS (SELECT DISTINCT s_nationkey AS a, p_brand || '/' || (p_partkey % 7)::VARCHAR AS x FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey),
        n AS (SELECT a, count(*) AS n FROM s GROUP BY a), i AS (SELECT l.a AS a, r.a AS b, count(*) AS common FROM s l JOIN s r ON l.x = r.x AND l.a < r.a GROUP BY 1, 2)"""
 
 
@@ -322,13 +339,13 @@ def set_similarity(spark, sf_dir):
 
 @query(
     "positional_zip",
-    """WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]+') AS ws FROM conversations),
+    f"""WITH w AS (SELECT conv_id, turn, regexp_extract_all(text, '{PLAIN}') AS ws FROM conversations),
        e AS (SELECT conv_id, turn, unnest(range(0, len(ws))) AS i, unnest(ws) AS w FROM w)
        SELECT a.conv_id, a.turn, count(*) AS aligned, count(*) FILTER (a.w = b.w) AS same FROM e a JOIN e b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND a.i = b.i GROUP BY 1, 2""",
 )
 def positional_zip(spark, sf_dir):
     """Words of each turn and the next aligned by their place."""
-    ws = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("ws"))
+    ws = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(PLAIN), F.lit(0)).alias("ws"))
     pair = ws.join(ws.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("ws").alias("nxt")), ["conv_id", "turn"])
     n = F.least(F.size("ws"), F.size("nxt"))
     same = F.size(F.filter(F.arrays_zip(F.slice("ws", 1, n), F.slice("nxt", 1, n)), lambda z: z["0"] == z["1"]))
@@ -470,3 +487,46 @@ def link_fan_in(spark, sf_dir):
 def fan_out(spark, sf_dir):
     """More than N (strict), unlike fan-in, which takes N or more."""
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 10")
+
+
+# -- graphs of many nodes --------------------------------------------------------------------
+
+_CHAIN_SQL = "c AS (SELECT o_custkey, o_orderkey, lead(o_orderkey) OVER w AS nxt, row_number() OVER w AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"
+
+
+def order_chains(spark, sf_dir):
+    """Each order and the customer's next: as many nodes as orders."""
+    nxt = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    return staged(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("src"), nxt.alias("dst")).where("dst is not null"), "chains")
+
+
+@query("graph_order_components", f"WITH {_CHAIN_SQL} SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS label FROM c WHERE n > 1")
+def graph_order_components(spark, sf_dir):
+    return graph.components(order_chains(spark, sf_dir))
+
+
+@query("graph_order_levels", f"WITH {_CHAIN_SQL} SELECT o_orderkey AS node, (n - r)::INTEGER AS level FROM c WHERE n > 1")
+def graph_order_levels(spark, sf_dir):
+    """How many orders follow: the levels of a graph of long chains."""
+    e = order_chains(spark, sf_dir)
+    return graph.levels(e, graph.nodes(e))
+
+
+@query("graph_order_reach", f"WITH {_CHAIN_SQL} SELECT o_orderkey AS seed, n AS reached FROM c WHERE r = 1 AND n > 1 AND o_custkey % 10 = 1")
+def graph_order_reach(spark, sf_dir):
+    """What the first orders of a tenth of the customers (the seeds) reach, over all orders."""
+    e = order_chains(spark, sf_dir)
+    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 1")
+    first = o.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("node"), F.count("*").alias("n")).where("n > 1").select("node")
+    return graph.reachable(e, first).groupBy("seed").agg(F.count("*").alias("reached"))
+
+
+@query(
+    "graph_shared_parts",
+    """WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem) SELECT s AS node, 0::BIGINT AS fan_in, count(*) AS fan_out FROM e GROUP BY s
+       UNION ALL SELECT -1 - p, count(*), 0 FROM e GROUP BY p""",
+)
+def graph_shared_parts(spark, sf_dir):
+    """Degrees in the graph of suppliers and the parts (negative keys) that they deliver."""
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), (-1 - F.col("l_partkey")).alias("dst"))
+    return graph.degrees(e).select("node", "fan_in", "fan_out")
