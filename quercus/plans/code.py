@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quercus.operators import analyses, clones, graph, inspections, layout, lookup, pattern, refactor, symbolic
+from quercus.operators import analyses, clones, editor, graph, inspections, layout, lookup, pattern, refactor, symbolic
 from quercus.plans import corpus
 from quercus.plans.registry import query
 from quercus.plans.staging import staged
@@ -14,7 +14,7 @@ from quercus.sources import preprocess
 from quercus.sources.files import changed, from_strings, test_framework
 from quercus.sources.stages import Stages
 from quercus.sources.tokenizer import tokens
-from quercus.trees import diff
+from quercus.trees import clusters, diff
 
 _PARSED: dict[tuple[str, bool], Stages] = {}
 SMALL_CLONES = clones.CloneParams(min_len=3, min_toks=15)
@@ -251,3 +251,29 @@ def macro_definitions(spark, sf_dir):
 def macro_errors(spark, sf_dir):
     found = preprocess.expanded(from_strings(spark, corpus.WITH_MACROS), from_strings(spark, corpus.HEADERS))
     return found.select("path", F.explode(F.concat("errors", F.transform("missing", lambda x: F.concat(F.lit("missing "), x)))).alias("error"))
+
+
+# what an editor asks
+code_query("editor_actions")(lambda s: editor.actions(s).where("module = 'ledger' and action not in ('rename variable', 'new macro')"))
+code_query("editor_action_counts")(lambda s: editor.actions(s).groupBy("module", "action").agg(F.count("*").alias("n")).where("action in ('rename function', 'inline variable', 'extract function')"))
+code_query("editor_lenses")(editor.lenses)
+code_query("editor_highlights")(lambda s: editor.highlights(s, _point(s, "ledger", 9, 15)))
+code_query("semantic_tokens")(lambda s: editor.semantic_tokens(s).where("module = 'router' and seq <= 12"))
+
+# trees as tables
+code_query("tree_index")(lambda s: _named(s, clusters.indexed(s.ast_nodes.where("type like '%_expr'"), "type").select("file_id", "key", "n")))
+code_query("tree_rebuilt")(lambda s: _named(s, clusters.rendered(s.ast_nodes, s.ast_nodes.where("type = 'match_expr'")).select("file_id", "code")))
+code_query("tree_breadth_first")(lambda s: _named(s, clusters.breadth_first(s.ast_nodes.where("f = 'same'")).select("file_id", "rank", "type")))
+code_query("tree_clusters")(lambda s: _named(s, clusters.clusters(clusters.marked(_functions(s, "scale"), _functions(s, "balance"))).select("file_id", "common", "size", "frontier")))
+code_query("function_blocks")(lambda s: _named(s, _blocks(s)))
+code_query("block_interfaces")(lambda s: _named(s, clusters.block_interfaces(_blocks(s), s.expr_seqs, s.bindings)))
+code_query("argument_names")(lambda s: clusters.argument_names(s.functions, s.ast_nodes).where("m in ('ledger', 'shapes')"))
+code_query("redirected_calls")(lambda s: _per_file(s, "table", lambda t: clusters.local_calls_redirected(t, "store", {("lookup", 1), ("log", 2)})))
+
+
+def _functions(s: Stages, name: str) -> DataFrame:
+    return s.ast_nodes.where(F.col("f") == name)
+
+
+def _blocks(s: Stages) -> DataFrame:
+    return clusters.blocks(s.expr_seqs.where("m = 'shapes'"), s.expr_seqs.where("m = 'ledger'"))

@@ -1781,6 +1781,257 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             (4, "init(X, Y) -> {X, Y}."),
         ],
     ),
+    "editor_actions": (
+        "module string, action string, start_line int, start_col int, end_line int, end_col int, subject string",
+        [
+            ("ledger", "extract function", 7, 1, 11, 0, "5 statements"),
+            ("ledger", "extract function", 14, 1, 16, 0, "3 statements"),
+            ("ledger", "extract function", 24, 1, 25, 0, "2 statements"),
+            ("ledger", "generalise function", 10, 15, 10, 28, "\"average ~p~n\""),
+            ("ledger", "generalise function", 14, 34, 14, 34, "1"),
+            ("ledger", "generalise function", 24, 24, 24, 24, "1"),
+            ("ledger", "inline variable", 9, 5, 9, 27, "Average"),
+            ("ledger", "inline variable", 14, 5, 14, 35, "E"),
+            ("ledger", "move function", 6, 1, 6, 7, "balance/1"),
+            ("ledger", "move function", 13, 1, 13, 6, "report/2"),
+            ("ledger", "move function", 18, 1, 18, 6, "format/2"),
+            ("ledger", "move function", 20, 1, 20, 4, "fold/3"),
+            ("ledger", "move function", 23, 1, 23, 4, "same/1"),
+            ("ledger", "move function", 27, 1, 27, 4, "deep/3"),
+            ("ledger", "new variable", 7, 13, 7, 30, "lists:sum(Entries)"),
+            ("ledger", "new variable", 8, 13, 8, 27, "length(Entries)"),
+            ("ledger", "new variable", 9, 15, 9, 27, "Total / Count"),
+            ("ledger", "new variable", 10, 5, 10, 40, "io:format(\"average ~p~n\", [Average])"),
+            ("ledger", "new variable", 10, 31, 10, 39, "[Average]"),
+            ("ledger", "new variable", 11, 5, 11, 27, "{Total, Count, Average}"),
+            ("ledger", "new variable", 15, 14, 15, 25, "format(X, E)"),
+            ("ledger", "new variable", 15, 35, 15, 50, "reverse(Entries)"),
+            ("ledger", "new variable", 16, 5, 16, 28, "lists:append(Lines, [E])"),
+            ("ledger", "new variable", 16, 25, 16, 27, "[E]"),
+            ("ledger", "new variable", 18, 34, 18, 39, "{X, A}"),
+            ("ledger", "new variable", 21, 26, 21, 46, "fold(F, F(H, Acc), T)"),
+            ("ledger", "new variable", 21, 34, 21, 42, "F(H, Acc)"),
+            ("ledger", "new variable", 24, 9, 24, 25, "counter:add(X, 1)"),
+            ("ledger", "new variable", 33, 36, 33, 40, "V + W"),
+            ("ledger", "new variable", 33, 36, 33, 44, "V + W + U"),
+            ("ledger", "new variable", 34, 30, 34, 34, "V + W"),
+            ("ledger", "rename function", 6, 1, 6, 7, "balance/1"),
+            ("ledger", "rename function", 13, 1, 13, 6, "report/2"),
+            ("ledger", "rename function", 18, 1, 18, 6, "format/2"),
+            ("ledger", "rename function", 20, 1, 20, 4, "fold/3"),
+            ("ledger", "rename function", 23, 1, 23, 4, "same/1"),
+            ("ledger", "rename function", 27, 1, 27, 4, "deep/3"),
+        ],
+    ),
+    "editor_action_counts": (
+        "module string, action string, n bigint",
+        [
+            ("counter", "extract function", 3),
+            ("counter", "inline variable", 1),
+            ("counter", "rename function", 6),
+            ("ledger", "extract function", 3),
+            ("ledger", "inline variable", 2),
+            ("ledger", "rename function", 6),
+            ("router", "extract function", 3),
+            ("router", "rename function", 5),
+            ("shapes", "extract function", 2),
+            ("shapes", "inline variable", 1),
+            ("shapes", "rename function", 5),
+            ("table", "extract function", 1),
+            ("table", "rename function", 6),
+        ],
+    ),
+    "editor_lenses": (
+        "module string, line int, title string",
+        [
+            ("counter", 6, "comment out specification"),
+            ("counter", 8, "refactor start/0"),
+            ("counter", 11, "refactor loop/1"),
+            ("counter", 22, "refactor drain/1"),
+            ("counter", 32, "refactor add/2"),
+            ("counter", 34, "refactor total/1"),
+            ("counter", 41, "refactor kind/1"),
+            ("ledger", 6, "refactor balance/1"),
+            ("ledger", 13, "refactor report/2"),
+            ("ledger", 18, "refactor format/2"),
+            ("ledger", 20, "refactor fold/3"),
+            ("ledger", 23, "refactor same/1"),
+            ("ledger", 27, "refactor deep/3"),
+            ("router", 4, "refactor route/2"),
+            ("router", 9, "refactor dispatch/3"),
+            ("router", 15, "refactor broadcast/2"),
+            ("router", 18, "refactor sum_to/1"),
+            ("router", 21, "refactor old/1"),
+            ("shapes", 4, "refactor area/1"),
+            ("shapes", 7, "refactor perimeter/1"),
+            ("shapes", 10, "refactor scale/2"),
+            ("shapes", 17, "refactor simple/1"),
+            ("shapes", 24, "refactor both/1"),
+            ("table", 4, "refactor lookup/1"),
+            ("table", 10, "refactor fallback/1"),
+            ("table", 12, "refactor insert/2"),
+            ("table", 16, "refactor all/0"),
+            ("table", 18, "refactor log/2"),
+            ("table", 21, "refactor pure/1"),
+        ],
+    ),
+    "editor_highlights": (
+        "module string, at_line int, at_col int, line int, col int",
+        [
+            ("ledger", 9, 15, 7, 5),
+            ("ledger", 9, 15, 9, 15),
+            ("ledger", 9, 15, 11, 6),
+        ],
+    ),
+    "semantic_tokens": (
+        "module string, seq int, delta_line int, delta_col int, length int, kind int",
+        [
+            ("router", 1, 1, 15, 1, 5),
+            ("router", 2, 0, 12, 1, 5),
+            ("router", 3, 0, 13, 1, 5),
+            ("router", 4, 0, 10, 1, 5),
+            ("router", 5, 0, 7, 1, 5),
+            ("router", 6, 2, 0, 5, 1),
+            ("router", 7, 0, 6, 4, 0),
+            ("router", 8, 0, 6, 3, 0),
+            ("router", 9, 1, 4, 6, 0),
+            ("router", 10, 0, 15, 6, 1),
+            ("router", 11, 0, 7, 4, 0),
+            ("router", 12, 1, 4, 6, 0),
+        ],
+    ),
+    "tree_index": (
+        "module string, key string, n bigint",
+        [
+            ("counter", "if_expr", 1),
+            ("counter", "infix_expr", 14),
+            ("counter", "match_expr", 4),
+            ("counter", "receive_expr", 2),
+            ("ledger", "case_expr", 3),
+            ("ledger", "infix_expr", 10),
+            ("ledger", "match_expr", 7),
+            ("ledger", "record_expr", 2),
+            ("router", "fun_expr", 1),
+            ("router", "infix_expr", 8),
+            ("router", "match_expr", 2),
+            ("shapes", "case_expr", 1),
+            ("shapes", "infix_expr", 13),
+            ("shapes", "match_expr", 4),
+            ("table", "case_expr", 1),
+            ("table", "infix_expr", 5),
+        ],
+    ),
+    "tree_rebuilt": (
+        "module string, code string",
+        [
+            ("counter", "Len = length(Xs)"),
+            ("counter", "Mean = Sum / Len"),
+            ("counter", "R = drain(N + K)"),
+            ("counter", "Sum = lists:sum(Xs)"),
+            ("ledger", "Average = Total / Count"),
+            ("ledger", "Count = length(Entries)"),
+            ("ledger", "E = #entry{id = Id, amount = 1}"),
+            ("ledger", "Lines = [format(X, E) || X <- reverse(Entries)]"),
+            ("ledger", "Total = lists:sum(Entries)"),
+            ("ledger", "Y = counter:add(X, 1)"),
+            ("ledger", "amount = 0"),
+            ("router", "D1 = dict:store(key, 1, D)"),
+            ("router", "Target = table:lookup(Node)"),
+            ("shapes", "Number = length(Shapes)"),
+            ("shapes", "Ratio = Totals / Number"),
+            ("shapes", "Totals = lists:sum(Shapes)"),
+            ("shapes", "Unused = 1 + 2"),
+        ],
+    ),
+    "tree_breadth_first": (
+        "module string, rank int, type string",
+        [
+            ("ledger", 1, "function"),
+            ("ledger", 2, "atom"),
+            ("ledger", 3, "clause"),
+            ("ledger", 4, "variable"),
+            ("ledger", 5, "match_expr"),
+            ("ledger", 6, "variable"),
+            ("ledger", 7, "variable"),
+            ("ledger", 8, "application"),
+            ("ledger", 9, "module_qualifier"),
+            ("ledger", 10, "variable"),
+            ("ledger", 11, "integer"),
+            ("ledger", 12, "atom"),
+            ("ledger", 13, "atom"),
+        ],
+    ),
+    "tree_clusters": (
+        "module string, common boolean, size bigint, frontier bigint",
+        [
+            ("shapes", False, 28, 3),
+            ("shapes", True, 1, 1),
+            ("shapes", True, 3, 1),
+            ("shapes", True, 3, 1),
+        ],
+    ),
+    "function_blocks": (
+        "module string, f string, a int, seq_id int, start int, n bigint, common boolean",
+        [
+            ("shapes", "area", 1, 0, 0, 1, False),
+            ("shapes", "area", 1, 1, 0, 1, False),
+            ("shapes", "both", 1, 0, 0, 1, False),
+            ("shapes", "perimeter", 1, 0, 0, 1, False),
+            ("shapes", "perimeter", 1, 1, 0, 1, False),
+            ("shapes", "scale", 2, 0, 0, 4, True),
+            ("shapes", "scale", 2, 0, 4, 1, False),
+            ("shapes", "simple", 1, 0, 0, 2, False),
+            ("shapes", "simple", 1, 1, 0, 1, False),
+            ("shapes", "simple", 1, 2, 0, 1, False),
+        ],
+    ),
+    "block_interfaces": (
+        "module string, f string, a int, start int, needs array<string>, gives array<string>",
+        [
+            ("shapes", "area", 1, 0, [], []),
+            ("shapes", "area", 1, 0, [], []),
+            ("shapes", "both", 1, 0, [], []),
+            ("shapes", "perimeter", 1, 0, [], []),
+            ("shapes", "perimeter", 1, 0, [], []),
+            ("shapes", "scale", 2, 0, ["Shapes"], ["Number", "Ratio", "Totals"]),
+            ("shapes", "scale", 2, 4, ["Factor", "Number", "Ratio", "Totals"], []),
+            ("shapes", "simple", 1, 0, [], []),
+            ("shapes", "simple", 1, 0, [], []),
+            ("shapes", "simple", 1, 0, ["X"], []),
+        ],
+    ),
+    "argument_names": (
+        "m string, f string, a int, at int, name string",
+        [
+            ("ledger", "balance", 1, 0, "Entries"),
+            ("ledger", "deep", 3, 0, "A"),
+            ("ledger", "deep", 3, 1, "B"),
+            ("ledger", "deep", 3, 2, "C"),
+            ("ledger", "fold", 3, 0, "F"),
+            ("ledger", "fold", 3, 1, "Acc"),
+            ("ledger", "fold", 3, 2, "Arg3"),
+            ("ledger", "format", 2, 0, "X"),
+            ("ledger", "format", 2, 1, "Arg2"),
+            ("ledger", "report", 2, 0, "Id"),
+            ("ledger", "report", 2, 1, "Entries"),
+            ("ledger", "same", 1, 0, "X"),
+            ("shapes", "area", 1, 0, "Arg1"),
+            ("shapes", "both", 1, 0, "Xs"),
+            ("shapes", "perimeter", 1, 0, "Arg1"),
+            ("shapes", "scale", 2, 0, "Factor"),
+            ("shapes", "scale", 2, 1, "Shapes"),
+            ("shapes", "simple", 1, 0, "X"),
+        ],
+    ),
+    "redirected_calls": (
+        "path string, kind string, line int, text string",
+        [
+            ("src/table.erl", "+", 14, "    store:log(\"insert\", Key)."),
+            ("src/table.erl", "+", 16, "all() -> [store:lookup(K) || K <- [a, b, c]]."),
+            ("src/table.erl", "-", 14, "    log(\"insert\", Key)."),
+            ("src/table.erl", "-", 16, "all() -> [lookup(K) || K <- [a, b, c]]."),
+        ],
+    ),
 }
 
 _SOURCES = "src(path, content) AS (VALUES " + ", ".join(f"({_value(p)}, {_value(t)})" for p, t in corpus.FILES.items()) + ")"
