@@ -1 +1 @@
-"""quercus.functions."""
+"""Column functions on names and texts, and maps that go both ways."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quercus.functions import bimap, names
 from quercus.operators import graph
 from quercus.plans.registry import query, table
 from quercus.plans.staging import staged
@@ -399,13 +400,38 @@ def incremental_files(spark, sf_dir):
 def identifier_functions(spark, sf_dir):
     words = F.split("p_name", " ")
     return table(spark, sf_dir, "part").select(
-        "p_partkey", F.lower("p_name").alias("low"), F.upper("p_name").alias("up"), F.array_sort(F.array_distinct(F.split(F.lower("p_name"), "[ _#]"))).alias("parts"),
-        F.lower(F.regexp_replace(F.concat("p_type", F.lit("Of"), "p_brand"), "([a-z])([A-Z])", "$1_$2")).alias("snake"), F.levenshtein("p_brand", "p_type").alias("distance"),
-        F.md5("p_name").alias("digest"), F.array_join(F.transform(words, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", ").alias("quoted"),
+        "p_partkey", F.lower("p_name").alias("low"), F.upper("p_name").alias("up"), names.words_of(F.col("p_name")).alias("parts"),
+        names.snake_case(F.concat("p_type", F.lit("Of"), "p_brand")).alias("snake"), F.levenshtein("p_brand", "p_type").alias("distance"),
+        F.md5("p_name").alias("digest"), names.quoted(F.col("p_name")).alias("quoted"),
         F.greatest("p_size", F.lit(25)).alias("hi"), F.least("p_size", F.lit(25)).alias("lo"), F.element_at(words, 1).alias("head"), F.element_at(words, -1).alias("last"),
     )
 
 
+@query(
+    "token_edit_distance",
+    """WITH RECURSIVE p AS (SELECT p_partkey, string_split(p_name, ' ') AS a, string_split(p_type || ' ' || p_name, ' ') AS b FROM part),
+       t AS (SELECT p_partkey, a, b, 0 AS i, range(0, len(b) + 1) AS row FROM p UNION ALL
+             SELECT p_partkey, a, b, i + 1, list_reduce(list_prepend([i + 1], list_transform(range(1, len(b) + 1), lambda j: [row[j + 1] + 1, row[j] + CASE WHEN a[i + 1] = b[j] THEN 0 ELSE 1 END])),
+                    lambda x, y: list_append(x, least(x[-1] + 1, y[1], y[2]))) FROM t WHERE i < len(a))
+       SELECT p_partkey, row[-1]::INTEGER AS distance FROM t WHERE i = len(a)""",
+)
+def token_edit_distance(spark, sf_dir):
+    """Edit distance of two lists of words, as two layouts are aligned."""
+    a, b = F.split("p_name", " "), F.split(F.concat_ws(" ", "p_type", "p_name"), " ")
+    return table(spark, sf_dir, "part").select("p_partkey", names.line_distance(a, b).alias("distance"))
+
+
+@query(
+    "two_way_map",
+    """WITH p AS (SELECT DISTINCT c_mktsegment AS l, c_nationkey AS r FROM customer), n AS (SELECT 'left' AS side, l AS key, count(*) AS n FROM p GROUP BY l UNION ALL SELECT 'right', r::VARCHAR, count(*) FROM p GROUP BY r)
+       SELECT * FROM n WHERE n > 1""",
+)
+def two_way_map(spark, sf_dir):
+    """Where a table is no map that can be read both ways."""
+    pairs = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("left"), F.col("c_nationkey").cast("string").alias("right"))
+    return bimap.conflicts(pairs)
+
+
 # -- graphs ----------------------------------------------------------------------------------
 
 _TRADE_SQL = """t AS (SELECT c_nationkey AS src, s_nationkey AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
