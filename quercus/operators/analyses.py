@@ -61,6 +61,42 @@ def slice_from(s: Stages, points: DataFrame, backward: bool = False) -> DataFram
     return found.select(F.substring_index("seed", ":", 1).alias("module"), at("seed").alias("at"), at("node").alias("line"))
 
 
+def slice_between(s: Stages, points: DataFrame, backward: bool = False) -> DataFrame:
+    """As :func:`slice_from`, over calls too: ``module, at, to_module, line``.
+
+    A call passes its line on to the head of the function that it calls, and the lines of that function's last
+    statements pass on to the call. Calls are not told apart, so what one of them passes on comes back to all.
+    """
+    files = s.files.select("file_id", "module")
+    inner = statement_edges(s).join(files, "file_id").select(F.concat_ws(":", "module", "src").alias("src"), F.concat_ws(":", "module", "dst").alias("dst"))
+    calls = s.calls.where("sure").select("m", "line", F.col("callee_m").alias("cm"), F.col("callee_f").alias("cf"), F.col("callee_a").alias("ca"))
+    head = s.functions.select(F.col("m").alias("cm"), F.col("f").alias("cf"), F.col("a").alias("ca"), F.col("start_line").alias("head"))
+    into = calls.join(head, ["cm", "cf", "ca"]).select(F.concat_ws(":", "m", "line").alias("src"), F.concat_ws(":", "cm", "head").alias("dst"))
+    last = s.expr_seqs.groupBy(F.col("m").alias("cm"), F.col("f").alias("cf"), F.col("a").alias("ca"), "seq_id").agg(F.max_by("start_line", "idx").alias("tail"))
+    back = calls.join(last, ["cm", "cf", "ca"]).select(F.concat_ws(":", "cm", "tail").alias("src"), F.concat_ws(":", "m", "line").alias("dst"))
+    e = staged(inner.union(into).union(back).where("src <> dst").distinct(), "slice-edges")
+    found = graph.reachable(e, points.select(F.concat_ws(":", "module", "line").alias("node")), reverse=backward)
+    at = lambda c: F.substring_index(c, ":", -1).cast("int")
+    return found.select(F.substring_index("seed", ":", 1).alias("module"), at("seed").alias("at"), F.substring_index("node", ":", 1).alias("to_module"), at("node").alias("line"))
+
+
+def process_order(s: Stages) -> DataFrame:
+    """``mfa, level``: functions from which a process is spawned or which one runs, callees first; the others are left out."""
+    edges = staged(s.call_edges, "calls")
+    e = s.calls.where("shape = 'spawn' and sure").select(F.explode(F.array(mfa("m", "f", "a"), mfa("callee_m", "callee_f", "callee_a"))).alias("node")).distinct()
+    near = graph.reachable(edges, e, reverse=True).select("node").distinct()
+    order = graph.callee_first(edges)
+    return order.join(near, "node", "left_semi").select(F.col("node").alias("mfa"), "level")
+
+
+def module_graph_updated(old: DataFrame, s: Stages, status: DataFrame) -> DataFrame:
+    """``src, dst``: the module graph after a change. Edges of modules whose files are unchanged (``path, status``) are taken over; only the others are read."""
+    same = s.files.join(status.where("status = 'unchanged'").select("path"), "path", "left_semi").select(F.col("module").alias("src"))
+    kept = old.select("src", "dst").join(same, "src", "left_semi").join(s.files.select(F.col("module").alias("dst")), "dst", "left_semi").select("src", "dst")
+    new = s.module_edges.select("src", "dst").distinct().join(same, "src", "left_anti")
+    return kept.union(new).distinct()
+
+
 def affected_functions(s: Stages, seeds: DataFrame) -> DataFrame:
     """Functions that the given ones (column ``node``) may influence: those that call them, however far."""
     return graph.reachable(staged(s.call_edges), seeds, reverse=True)

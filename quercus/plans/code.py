@@ -277,3 +277,14 @@ def _functions(s: Stages, name: str) -> DataFrame:
 
 def _blocks(s: Stages) -> DataFrame:
     return clusters.blocks(s.expr_seqs.where("m = 'shapes'"), s.expr_seqs.where("m = 'ledger'"))
+
+code_query("forward_slice_calls")(lambda s: analyses.slice_between(s, _rows(s, [("ledger", 24)], "module string, line int")))
+code_query("backward_slice_calls")(lambda s: analyses.slice_between(s, _rows(s, [("table", 16)], "module string, line int"), True))
+code_query("process_order")(analyses.process_order)
+code_query("function_text")(lambda s: s.functions.where("m = 'ledger' and f = 'same' and a = 1").select("m", "f", "a", "text"))
+code_query("module_graph_updated")(lambda s: _updated(s))
+
+
+def _updated(s: Stages) -> DataFrame:
+    later = stages(s.files.sparkSession, True)
+    return analyses.module_graph_updated(s.module_edges, later, changed(s.files, later.files))

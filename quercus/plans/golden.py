@@ -2032,6 +2032,61 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ("src/table.erl", "-", 16, "all() -> [lookup(K) || K <- [a, b, c]]."),
         ],
     ),
+    "forward_slice_calls": (
+        "module string, at int, to_module string, line int",
+        [
+            ("ledger", 24, "counter", 32),
+            ("ledger", 24, "ledger", 24),
+            ("ledger", 24, "ledger", 25),
+            ("ledger", 24, "router", 11),
+            ("ledger", 24, "router", 13),
+        ],
+    ),
+    "backward_slice_calls": (
+        "module string, at int, to_module string, line int",
+        [
+            ("table", 16, "router", 4),
+            ("table", 16, "router", 5),
+            ("table", 16, "router", 7),
+            ("table", 16, "router", 9),
+            ("table", 16, "router", 12),
+            ("table", 16, "router", 15),
+            ("table", 16, "router", 16),
+            ("table", 16, "table", 4),
+            ("table", 16, "table", 5),
+            ("table", 16, "table", 6),
+            ("table", 16, "table", 7),
+            ("table", 16, "table", 10),
+            ("table", 16, "table", 16),
+        ],
+    ),
+    "process_order": (
+        "mfa string, level int",
+        [
+            ("counter:loop/1", 0),
+            ("counter:start/0", 1),
+            ("router:broadcast/2", 1),
+            ("router:dispatch/3", 1),
+            ("router:route/2", 0),
+            ("table:all/0", 1),
+            ("table:fallback/1", 0),
+            ("table:lookup/1", 0),
+        ],
+    ),
+    "function_text": (
+        "m string, f string, a int, text string",
+        [
+            ("ledger", "same", 1, "same(X) ->\n    Y = counter:add(X, 1),\n    Y."),
+        ],
+    ),
+    "module_graph_updated": (
+        "src string, dst string",
+        [
+            ("extra", "counter"),
+            ("ledger", "counter"),
+            ("router", "counter"),
+        ],
+    ),
 }
 
 _SOURCES = "src(path, content) AS (VALUES " + ", ".join(f"({_value(p)}, {_value(t)})" for p, t in corpus.FILES.items()) + ")"
