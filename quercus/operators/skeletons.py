@@ -5,7 +5,7 @@ Each edit takes the line of the expression (null: everywhere), as one would sele
 
 from __future__ import annotations
 
-from quercus.operators.edits import legal_atom, need
+from quercus.operators.edits import legal_atom, module_of, need, new_name, source, variables
 from quercus.operators.pattern import Context, Rule, rewrite_text
 from quercus.sources.parser import Node
 from quercus.trees.annotate import name_of
@@ -104,3 +104,50 @@ def pipe(text: str, line: int | None = None) -> str:
         ],
         "stop_td",
     )
+
+
+def parallel_accumulator(text: str, f: str, a: int) -> str:
+    """The functions that would compute an accumulating tail recursion in parallel; the module itself stays as it is.
+
+    The recursion has two clauses: one for ``[]`` that gives the accumulator, and one for ``[X | Xs]`` that goes on with
+    ``Xs`` and with the accumulator combined with a value that depends on ``X`` alone (and on parameters that stay). A
+    dispatcher starts a worker for each item, workers compute the values, and a collector combines them in order.
+    """
+    mod = module_of(text)
+    need((f, a) in mod.functions, f"{f}/{a} is not defined here")
+    form = mod.functions[f, a]
+    need(len(form.groups[1]) == 2 and not any(c.groups[1] for c in form.groups[1]), "not two clauses without guards")
+    clauses = form.groups[1]
+    end = next((c for c in clauses if any(p.type in ("nil", "list") and not p.children for p in c.groups[0])), None)
+    need(end is not None, "no clause for the empty list")
+    step = clauses[1] if clauses[0] is end else clauses[0]
+    at = next(i for i, p in enumerate(end.groups[0]) if p.type in ("nil", "list") and not p.children)
+    result = end.groups[2][-1]
+    accs = [i for i, p in enumerate(end.groups[0]) if p.type == "variable" and result.type == "variable" and p.value == result.value]
+    need(len(end.groups[2]) == 1 and len(accs) == 1, "the empty list does not give the accumulator")
+    acc = accs[0]
+    items, call = step.groups[0][at], step.groups[2][-1]
+    need(items.type == "list" and len(items.groups) > 1 and len(items.groups[0]) == 1 and items.groups[0][0].type == "variable" and items.groups[1] and items.groups[1][0].type == "variable", "no clause for [X | Xs]")
+    need(call.type == "application" and name_of(call.groups[0][0]) == f and len(call.groups[1]) == a and len(step.groups[2]) == 1, "not one recursive call")
+    x, xs = items.groups[0][0].value, items.groups[1][0].value
+    args = call.groups[1]
+    need(args[at].type == "variable" and args[at].value == xs, "the recursion does not go on with the rest")
+    name = step.groups[0][acc].value
+    new = args[acc]
+    need(new.type == "infix_expr" and any(s.type == "variable" and s.value == name for s in (new.groups[0][0], new.groups[1][0])), "the accumulator is not combined by an operator")
+    left = new.groups[0][0].type == "variable" and new.groups[0][0].value == name
+    value = new.groups[1][0] if left else new.groups[0][0]
+    stay = [p.value for i, p in enumerate(step.groups[0]) if i not in (at, acc)]
+    need(all(args[i].type == "variable" and args[i].value == step.groups[0][i].value for i in range(a) if i not in (at, acc)), "other parameters change")
+    need(variables(value) <= {x, *stay}, "the value depends on more than the item")
+    used = {g for g, _ in mod.functions}
+    dispatch, work, gather = (new_name(f"{f}_{n}", used) for n in ("dispatch", "worker", "collect"))
+    extra = "".join(", " + v for v in stay)
+    combine = f"Acc {new.value} Value" if left else f"Value {new.value} Acc"
+    head = ", ".join("Items" if i == at else "Acc" if i == acc else step.groups[0][i].value for i in range(a))
+    return (
+        f"{f}({head}) ->\n    Parent = self(),\n    Pids = {dispatch}(Items, Parent{extra}),\n    {gather}(Pids, Acc).\n\n"
+        f"{dispatch}(Items, Parent{extra}) ->\n    [spawn(fun() -> {work}(Item, Parent{extra}) end) || Item <- Items].\n\n"
+        f"{work}({x}, Parent{extra}) ->\n    Parent ! {{self(), {source(text, value)}}}.\n\n"
+        f"{gather}([], Acc) ->\n    Acc;\n{gather}([Pid | Pids], Acc) ->\n    receive\n        {{Pid, Value}} ->\n            {gather}(Pids, {combine})\n    end.\n"
+    )

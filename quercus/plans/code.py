@@ -288,3 +288,10 @@ code_query("module_graph_updated")(lambda s: _updated(s))
 def _updated(s: Stages) -> DataFrame:
     later = stages(s.files.sparkSession, True)
     return analyses.module_graph_updated(s.module_edges, later, changed(s.files, later.files))
+
+
+# parts of the stage tables that are small enough to be held row by row
+code_query("bindings_of_functions")(lambda s: s.bindings.where("f in ('report', 'same', 'fold')").select("f", "a", "role", "var", "line", "col"))
+code_query("nodes_of_function")(lambda s: s.ast_nodes.where("f = 'same'").select("depth", "type", "value", "category", "ctx", "start_line", "start_col", "end_line", "end_col"))
+code_query("statements_of_function")(lambda s: s.expr_seqs.where("f = 'balance'").select("seq_id", "idx", "hash", "ntoks", "gen_text", "start_line", "end_line"))
+code_query("atoms_of_module")(lambda s: inspections.atom_types(s).where("module = 'router'"))

@@ -836,8 +836,10 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         "path string, kind string, line int, text string",
         [
             ("src/counter.erl", "+", 3, "-export([start/0, loop/1, add/3, total/1, kind/1, drain/1])."),
+            ("src/counter.erl", "+", 6, "-spec add(integer(), integer(), any()) -> integer()."),
             ("src/counter.erl", "+", 32, "add(A, B, Extra) -> A + B * ?STEP."),
             ("src/counter.erl", "-", 3, "-export([start/0, loop/1, add/2, total/1, kind/1, drain/1])."),
+            ("src/counter.erl", "-", 6, "-spec add(integer(), integer()) -> integer()."),
             ("src/counter.erl", "-", 32, "add(A, B) -> A + B * ?STEP."),
             ("src/ledger.erl", "+", 24, "    Y = counter:add(X, 1, undefined),"),
             ("src/ledger.erl", "-", 24, "    Y = counter:add(X, 1),"),
@@ -851,8 +853,10 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
         "path string, kind string, line int, text string",
         [
             ("src/counter.erl", "+", 3, "-export([start/0, loop/1, add/1, total/1, kind/1, drain/1])."),
+            ("src/counter.erl", "+", 6, "-spec add({integer(), integer()}) -> integer()."),
             ("src/counter.erl", "+", 32, "add({A, B}) -> A + B * ?STEP."),
             ("src/counter.erl", "-", 3, "-export([start/0, loop/1, add/2, total/1, kind/1, drain/1])."),
+            ("src/counter.erl", "-", 6, "-spec add(integer(), integer()) -> integer()."),
             ("src/counter.erl", "-", 32, "add(A, B) -> A + B * ?STEP."),
             ("src/ledger.erl", "+", 24, "    Y = counter:add({X, 1}),"),
             ("src/ledger.erl", "-", 24, "    Y = counter:add(X, 1),"),
@@ -2087,6 +2091,117 @@ ROWS: dict[str, tuple[str, list[tuple]]] = {
             ("router", "counter"),
         ],
     ),
+    "edit_parallel_accumulator": (
+        "line int, text string",
+        [
+            (0, "weigh(Items, K, Acc) ->"),
+            (1, "    Parent = self(),"),
+            (2, "    Pids = weigh_dispatch(Items, Parent, K),"),
+            (3, "    weigh_collect(Pids, Acc)."),
+            (5, "weigh_dispatch(Items, Parent, K) ->"),
+            (6, "    [spawn(fun() -> weigh_worker(Item, Parent, K) end) || Item <- Items]."),
+            (8, "weigh_worker(X, Parent, K) ->"),
+            (9, "    Parent ! {self(), f(X) * K}."),
+            (11, "weigh_collect([], Acc) ->"),
+            (12, "    Acc;"),
+            (13, "weigh_collect([Pid | Pids], Acc) ->"),
+            (14, "    receive"),
+            (15, "        {Pid, Value} ->"),
+            (16, "            weigh_collect(Pids, Acc + Value)"),
+            (17, "    end."),
+        ],
+    ),
+    "bindings_of_functions": (
+        "f string, a int, role string, var string, line int, col int",
+        [
+            ("fold", 3, "bind", "Acc", 20, 9),
+            ("fold", 3, "bind", "Acc", 21, 9),
+            ("fold", 3, "bind", "F", 21, 6),
+            ("fold", 3, "bind", "H", 21, 15),
+            ("fold", 3, "bind", "T", 21, 19),
+            ("fold", 3, "use", "Acc", 20, 21),
+            ("fold", 3, "use", "Acc", 21, 39),
+            ("fold", 3, "use", "F", 21, 31),
+            ("fold", 3, "use", "F", 21, 34),
+            ("fold", 3, "use", "H", 21, 36),
+            ("fold", 3, "use", "T", 21, 45),
+            ("report", 2, "bind", "E", 14, 5),
+            ("report", 2, "bind", "Entries", 13, 12),
+            ("report", 2, "bind", "Id", 13, 8),
+            ("report", 2, "bind", "Lines", 15, 5),
+            ("report", 2, "bind", "X", 15, 30),
+            ("report", 2, "use", "E", 15, 24),
+            ("report", 2, "use", "E", 16, 26),
+            ("report", 2, "use", "Entries", 15, 43),
+            ("report", 2, "use", "Id", 14, 21),
+            ("report", 2, "use", "Lines", 16, 18),
+            ("report", 2, "use", "X", 15, 21),
+            ("same", 1, "bind", "X", 23, 6),
+            ("same", 1, "bind", "Y", 24, 5),
+            ("same", 1, "use", "X", 24, 21),
+            ("same", 1, "use", "Y", 25, 5),
+        ],
+    ),
+    "statements_of_function": (
+        "seq_id int, idx int, hash string, ntoks int, gen_text string, start_line int, end_line int",
+        [
+            (0, 0, "476e3ced25a72aa346e453bfb345c88e", 8, "V = lists : sum ( V )", 7, 7),
+            (0, 1, "9c5a8d67509dbd74a59483b7e4eaf773", 6, "V = length ( V )", 8, 8),
+            (0, 2, "41a8b0a701415807e68c2eb50219783e", 5, "V = V / V", 9, 9),
+            (0, 3, "a8e8de659d388143f7bb5af0afbc57c7", 10, "io : format ( S , [ V ] )", 10, 10),
+            (0, 4, "0b01ab81eb3985c1ba66b483e0a8f75c", 7, "{ V , V , V }", 11, 11),
+        ],
+    ),
+    "atoms_of_module": (
+        "module string, value string, role string, n bigint",
+        [
+            ("router", "add", "function", 1),
+            ("router", "add", "unknown", 1),
+            ("router", "apply", "function", 2),
+            ("router", "broadcast", "function", 1),
+            ("router", "broadcast", "unknown", 1),
+            ("router", "counter", "module", 1),
+            ("router", "counter", "unknown", 1),
+            ("router", "dict", "module", 2),
+            ("router", "dispatch", "function", 1),
+            ("router", "dispatch", "unknown", 1),
+            ("router", "fetch", "function", 1),
+            ("router", "foreach", "function", 1),
+            ("router", "key", "unknown", 2),
+            ("router", "lists", "module", 1),
+            ("router", "lookup", "function", 1),
+            ("router", "lookup", "unknown", 1),
+            ("router", "old", "function", 1),
+            ("router", "old", "unknown", 1),
+            ("router", "route", "function", 2),
+            ("router", "route", "unknown", 1),
+            ("router", "router", "unknown", 1),
+            ("router", "spawn", "function", 1),
+            ("router", "store", "function", 1),
+            ("router", "sum_to", "function", 2),
+            ("router", "sum_to", "unknown", 1),
+            ("router", "table", "module", 1),
+            ("router", "table", "unknown", 1),
+        ],
+    ),
+    "nodes_of_function": (
+        "depth int, type string, value string, category string, ctx string, start_line int, start_col int, end_line int, end_col int",
+        [
+            (0, "function", "same", "function", "form", 23, 1, 25, 6),
+            (1, "atom", "same", "function_name", "function.0", 23, 1, 23, 4),
+            (1, "clause", "", "clause", "function.1", 23, 1, 25, 5),
+            (2, "match_expr", "=", "expression", "clause.2", 24, 5, 24, 25),
+            (2, "variable", "X", "pattern", "clause.0", 23, 6, 23, 6),
+            (2, "variable", "Y", "expression", "clause.2", 25, 5, 25, 5),
+            (3, "application", "", "expression", "match_expr.1", 24, 9, 24, 25),
+            (3, "variable", "Y", "pattern", "match_expr.0", 24, 5, 24, 5),
+            (4, "integer", "1", "expression", "application.1", 24, 24, 24, 24),
+            (4, "module_qualifier", "", "expression", "application.0", 24, 9, 24, 19),
+            (4, "variable", "X", "expression", "application.1", 24, 21, 24, 21),
+            (5, "atom", "add", "expression", "module_qualifier.1", 24, 17, 24, 19),
+            (5, "atom", "counter", "expression", "module_qualifier.0", 24, 9, 24, 15),
+        ],
+    ),
 }
 
 _SOURCES = "src(path, content) AS (VALUES " + ", ".join(f"({_value(p)}, {_value(t)})" for p, t in corpus.FILES.items()) + ")"

@@ -96,6 +96,8 @@ each(Xs) -> [f(X) || X <- Xs].
 mapped(Xs) -> lists:map(fun ?MODULE:f/1, Xs).
 chained(Xs) -> [f(g(other:h(X))) || X <- Xs].
 worker() -> {seq, fun ?MODULE:f/1}.
+weigh([], _, Acc) -> Acc;
+weigh([X | Xs], K, Acc) -> weigh(Xs, K, Acc + f(X) * K).
 """
 
 SERVER = """-module(server).
@@ -247,3 +249,10 @@ def edit_instance_module(spark, sf_dir):
     """The instance that takes a function of a behaviour module, and an empty one."""
     made = pattern.rewrite_files(samples(spark).where("module = 'behave'"), lambda t: behaviours.function_to_instance(t, "init", 2, "inst")[1])
     return made.select(F.posexplode(F.split("new_content", "\n")).alias("line", "text")).where("text <> ''")
+
+
+@query("edit_parallel_accumulator")
+def edit_parallel_accumulator(spark, sf_dir):
+    """The functions that would run an accumulating recursion in parallel."""
+    made = pattern.rewrite_files(samples(spark).where("module = 'parallel'"), lambda t: skeletons.parallel_accumulator(t, "weigh", 3))
+    return made.select(F.posexplode(F.split("new_content", "\n")).alias("line", "text")).where("text <> ''")
