@@ -3,13 +3,14 @@
 A chunk ends after a word if the gear hash of the last eight bytes says so, or
 if that hash is the least within six words either way, so that equal words and
 unlucky passages are cut too. An insertion moves cuts near it only, and equal
-passages fall into equal chunks. Chunks are compared by digest (96 bits) over
-the whole corpus: the document with the smallest id keeps a chunk, and within a
-document its first place does. Runs of duplicate chunks of ``least`` bytes or
-more are removed; shorter ones stay, as common phrases are no repeats: of a
-passage that repeats, what reaches from its ends to the next cut stays too,
-three words on average. Only digests and ids are shuffled to find the
-duplicates; texts meet their duplicate digests only where there are some.
+passages fall into equal chunks. Short chunks are common phrases, and the more
+text there is, the more of them are: so what is compared is, from each chunk on,
+the run of chunks that first has ``least`` bytes, by its digest (96 bits) over
+the whole corpus. The document with the smallest id keeps a run, and within a
+document its first place does; all other places of it are removed, with what
+overlaps united. Of a passage that repeats, what reaches from its ends to the
+next cut stays, three words on average. Only digests and ids are shuffled to
+find the duplicates; texts meet their duplicate digests only where there are some.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ EVERY = 4  # of words, one in so many ends a chunk by its hash
 AROUND = 6  # words either way among which the least hash ends a chunk
 INSIDE = 64  # of long words, one in so many characters ends a chunk
 LONG_WORD = 64  # bytes
-LEAST = 100  # bytes of a run that is removed
+LEAST = 100  # bytes that a run of chunks has at least
 BITS = 1 << 17  # words of the bitmap of shared digests, whatever the input
 
 _GEAR = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 32, 256, np.uint32)
@@ -58,8 +59,9 @@ def _least_around(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def chunks(docs: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Of a list of texts: the document, start, end and following start (in its text), digest and check of each chunk."""
+def chunks(docs: list[bytes], least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """Of a list of texts: the document, start, end and following start (in its text) of each chunk; then of each run of
+    chunks that first has ``least`` bytes its first and last chunk, digest and check."""
     buf = np.frombuffer(_BETWEEN.join(docs) + _BETWEEN, np.uint8)
     size = np.fromiter(map(len, docs), np.int64, len(docs))
     base = np.cumsum(size + len(_BETWEEN)) - size - len(_BETWEEN)
@@ -67,7 +69,7 @@ def chunks(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1))
     begin, end = edge[~space[edge]], edge[space[edge]]
     if not len(begin):
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
+        return (np.zeros(0, np.int64),) * 6 + (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
     h = gear(buf)
     cut = (h[end - 1] % EVERY == 0) | _least_around(h[end - 1], np.searchsorted(base, begin, side="right"))
     long = np.flatnonzero(end - begin > LONG_WORD)
@@ -86,36 +88,44 @@ def chunks(docs: list[bytes]) -> tuple[np.ndarray, ...]:
     follow = np.append(start[1:], 0)
     tail = np.append(owner[1:] != owner[:-1], True)
     follow[tail] = (base + size)[owner[tail]]
-    digest = xxh64(buf, start, stop - start, seed=7)
-    check = xxh64(buf, start, stop - start, seed=11).astype(np.uint32)
-    return owner, start - base[owner], stop - base[owner], follow - base[owner], digest, check
-
-
-def _flags(owner: np.ndarray, digest: np.ndarray, dup: list) -> np.ndarray:
-    """True for chunks that another document keeps or that the same text held before."""
-    out = np.zeros(len(owner), bool)
-    order = np.lexsort((digest, owner))
-    o, d = owner[order], digest[order]
-    out[order[1:]] = (o[1:] == o[:-1]) & (d[1:] == d[:-1])
-    some = [(i, x) for i, x in enumerate(dup) if x is not None]
-    for i, x in some:
-        a, b = np.searchsorted(owner, i), np.searchsorted(owner, i, side="right")
-        out[a:b] |= np.isin(digest[a:b], x)
-    return out
+    end_of = np.searchsorted(stop, start + least)  # the chunk with which the run from each chunk on has enough
+    i = np.flatnonzero(end_of < len(stop))
+    i = i[owner[end_of[i]] == owner[i]]
+    j = end_of[i]
+    digest = xxh64(buf, start[i], stop[j] - start[i], seed=7)
+    check = xxh64(buf, start[i], stop[j] - start[i], seed=11).astype(np.uint32)
+    return owner, start - base[owner], stop - base[owner], follow - base[owner], i, j, digest, check
+
+
+def _flags(owner: np.ndarray, first: np.ndarray, last: np.ndarray, digest: np.ndarray, dup: list) -> np.ndarray:
+    """True for chunks in runs that another document keeps or that the same text held before."""
+    own = owner[first]
+    gone = np.zeros(len(first), bool)
+    order = np.lexsort((first, digest, own))
+    o, d = own[order], digest[order]
+    gone[order[1:]] = (o[1:] == o[:-1]) & (d[1:] == d[:-1])
+    for k, x in enumerate(dup):
+        if x is not None:
+            a, b = np.searchsorted(own, k), np.searchsorted(own, k, side="right")
+            gone[a:b] |= np.isin(digest[a:b], x)
+    depth = np.zeros(len(owner) + 1, np.int64)
+    np.add.at(depth, first[gone], 1)
+    np.add.at(depth, last[gone] + 1, -1)
+    return np.cumsum(depth[:-1]) > 0
 
 
 def strip(docs: list[str | None], dup: list, least: int = LEAST) -> list[tuple[str | None, int, int, int]]:
     """(text without its duplicate runs, chunks, removed chunks, removed bytes) of each text."""
     raw = [(t or "").encode() for t in docs]
-    owner, start, _, follow, digest, _ = chunks(raw)
-    flag = _flags(owner, digest, dup)
+    owner, start, _, follow, first, last, digest, _ = chunks(raw, least)
+    flag = _flags(owner, first, last, digest, dup)
     n = np.bincount(owner, minlength=len(docs))
     out = [(t, int(k), 0, 0) for t, k in zip(docs, n, strict=True)]
     if not flag.any():
         return out
     edge = np.flatnonzero(np.append(True, (flag[1:] != flag[:-1]) | (owner[1:] != owner[:-1])))
     stop = np.append(edge[1:], len(flag))
-    runs = [(int(owner[a]), int(start[a]), int(follow[b - 1]), int(b - a)) for a, b in zip(edge, stop, strict=True) if flag[a] and follow[b - 1] - start[a] >= least]
+    runs = [(int(owner[a]), int(start[a]), int(follow[b - 1]), int(b - a)) for a, b in zip(edge, stop, strict=True) if flag[a]]
     by: dict[int, list] = {}
     for d, *x in runs:
         by.setdefault(d, []).append(x)
@@ -139,7 +149,7 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
     null, an empty one empty. A very long text is chunked whole, long words inside. An empty table gives no rows.
     """
     bounded(docs.sparkSession)
-    dup = _duplicates(docs, id_col, text_col)
+    dup = _duplicates(docs, least, id_col, text_col)
     own = _names(docs)
     known = may_hold(docs, id_col, written(bitmap(dup, "id"), "chunk-doc-bits"))
     with_dup = known.where(MAYBE).drop(MAYBE).join(dup.withColumnsRenamed({"id": own["id"], "dup": own["dup"]}), F.col(id_col) == F.col(own["id"]), "left").drop(own["id"])
@@ -159,15 +169,16 @@ def dedup(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col:
 
 
 @disposable
-def _duplicates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, dup``: the digests of a document's chunks that another document keeps."""
+def _duplicates(docs: DataFrame, least: int, id_col: str, text_col: str) -> DataFrame:
+    """``id, dup``: the digests of a document's runs of chunks that another document keeps."""
     src = texts(docs, id_col, text_col).where("id is not null")
     names_of = "id long, digest long, check int"
 
     def digests(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                owner, *_, digest, check = chunks([(t or "").encode() for t in part.column("text").to_pylist()])
+                chunk_of, *_, first, _, digest, check = chunks([(t or "").encode() for t in part.column("text").to_pylist()], least)
+                owner = chunk_of[first]
                 if bits is not None:
                     hit = (bits[(digest >> np.uint64(6)) % np.uint64(BITS)] >> (digest & np.uint64(63))) & np.uint64(1) == 1
                     owner, digest, check = owner[hit], digest[hit], check[hit]

@@ -10,7 +10,7 @@ from quercus.llm import substring_dedup as sd
 
 
 def brute_chunks(t):
-    """(start, end, following start, digest, check) with a plain loop."""
+    """(start, end, following start) with a plain loop."""
     b = t.encode()
     word = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
     out, first, hs = [], None, []
@@ -25,33 +25,45 @@ def brute_chunks(t):
         least = all(mixed[k] < x for x in mixed[max(0, k - sd.AROUND) : k]) and all(mixed[k] <= x for x in mixed[k + 1 : k + 1 + sd.AROUND])
         if hs[k] % sd.EVERY == 0 or least or k == len(word) - 1:
             nxt = word[k + 1][0] if k + 1 < len(word) else len(b)
-            out.append((first, e, nxt, xxhash.xxh64_intdigest(b[first:e], seed=7), xxhash.xxh64_intdigest(b[first:e], seed=11) & 0xFFFFFFFF))
+            out.append((first, e, nxt))
             first = None
     return out
 
 
+def brute_runs(t, least):
+    """(first chunk, last chunk, bytes) of the run from each chunk on that first has ``least`` bytes."""
+    c, b = brute_chunks(t), t.encode()
+    out = []
+    for i in range(len(c)):
+        j = next((j for j in range(i, len(c)) if c[j][1] - c[i][0] >= least), None)
+        if j is not None:
+            out.append((i, j, b[c[i][0] : c[j][1]]))
+    return out
+
+
 def brute_dedup(rows, least):
-    by = [(i, t, brute_chunks(t or "")) for i, t in rows]
-    owner, most = {}, {}
-    for i, _, c in by:
-        for *_, d, _ in c:
+    by = [(i, t, brute_chunks(t or ""), brute_runs(t or "", least)) for i, t in rows]
+    owner = {}
+    for i, _, _, runs in by:
+        for *_, x in runs:
             if i is not None:
-                owner[d], most[d] = min(owner.get(d, i), i), max(most.get(d, i), i)
+                owner[x] = min(owner.get(x, i), i)
     out = []
-    for i, t, c in by:
+    for i, t, c, runs in by:
         if t is None:
             out.append((i, t))
             continue
-        seen, flags = set(), []
-        for *_, d, _ in c:
-            flags.append(d in seen or (i is not None and owner[d] < i))
-            seen.add(d)
+        seen, gone = set(), set()
+        for a, z, x in runs:
+            if x in seen or (i is not None and owner[x] < i):
+                gone.update(range(a, z + 1))
+            seen.add(x)
         b, kept, at, k = t.encode(), b"", 0, 0
         while k < len(c):
             j = k
-            while j < len(c) and flags[j]:
+            while j < len(c) and j in gone:
                 j += 1
-            if j > k and c[j - 1][2] - c[k][0] >= least:
+            if j > k:
                 kept += b[at : c[k][0]]
                 at = c[j - 1][2]
             k = max(j, k + 1)
@@ -66,12 +78,11 @@ def passage(rnd, n):
 def test_chunks_equal_the_plain_loop():
     rnd = random.Random(1)
     texts = ["", " ", "a", " a\n b ", *(rnd.choice(["", " "]) + passage(rnd, rnd.randint(0, 60)).replace(" ", rnd.choice([" ", "\n", "  "])) for _ in range(60))]
-    for t in texts:
-        _, a, e, f, d, c = sd.chunks([t.encode()])
-        assert list(zip(a.tolist(), e.tolist(), f.tolist(), d.tolist(), c.tolist(), strict=True)) == brute_chunks(t)
-    o, a, e, f, d, c = sd.chunks([t.encode() for t in texts])
-    want = [(i, *c) for i, t in enumerate(texts) for c in brute_chunks(t)]
-    assert list(zip(o.tolist(), a.tolist(), e.tolist(), f.tolist(), d.tolist(), c.tolist(), strict=True)) == want
+    o, a, e, f, i, j, d, c = sd.chunks([t.encode() for t in texts])
+    assert list(zip(o.tolist(), a.tolist(), e.tolist(), f.tolist(), strict=True)) == [(k, *c) for k, t in enumerate(texts) for c in brute_chunks(t)]
+    first = np.searchsorted(o, np.arange(len(texts)))
+    want = [(k, x, y, xxhash.xxh64_intdigest(z, seed=7), xxhash.xxh64_intdigest(z, seed=11) & 0xFFFFFFFF) for k, t in enumerate(texts) for x, y, z in brute_runs(t, sd.LEAST)]
+    assert [(k, x - first[k], y - first[k], z, w) for k, x, y, z, w in zip(o[i].tolist(), i.tolist(), j.tolist(), d.tolist(), c.tolist(), strict=True)] == want
 
 
 def test_long_text_without_white_space():
@@ -81,10 +92,19 @@ def test_long_text_without_white_space():
     assert len(a) > 20 and (a[1:] == e[:-1]).all()
     for x, y in zip(a, e, strict=True):
         t.encode()[x:y].decode()
-    found = sd.strip([t, "xy" + t[1:]], [None, np.unique(sd.chunks([t.encode()])[4])])
+    found = sd.strip([t, "xy" + t[1:]], [None, np.unique(sd.chunks([t.encode()])[6])])
     assert len(found[1][0]) < 400
 
 
+def test_phrases_alone_are_no_repeats():
+    """Texts put together of phrases that other texts have too, in another order: nothing is removed."""
+    rnd = random.Random(11)
+    phrases = [passage(rnd, 5) for _ in range(40)]
+    texts = [" ".join(rnd.sample(phrases, 12)) for _ in range(12)]
+    known = np.unique(np.concatenate([sd.chunks([t.encode()])[6] for t in texts[:11]]))
+    assert sd.strip([texts[11]], [known])[0][0] == texts[11]
+
+
 def test_planted_passages(spark):
     rnd = random.Random(3)
     shared = [passage(rnd, 60) for _ in range(5)]
@@ -181,7 +201,7 @@ def test_recall_of_passages_of_51_words():
     for _ in range(400):
         shared = passage(rnd, 51)
         one, two = (" ".join([passage(rnd, 40), shared, passage(rnd, 40)]) for _ in range(2))
-        dup = np.unique(sd.chunks([one.encode()])[4])
+        dup = np.unique(sd.chunks([one.encode()])[6])
         left = sd.strip([two], [dup])[0][0]
         lost = (len(two) - len(left)) / len(shared)
         bare += lost == 0
