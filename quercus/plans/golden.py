@@ -1,7 +1,7 @@
 """Rows that the queries over the embedded modules (``corpus``, ``samples``) have to give, as SQL.
 
-The modules are fixed, so the rows are too. They were checked one by one by reading the modules: positions,
-bindings, calls, graphs and the lines that each edit changes. Tokens and files are counted by SQL from the text.
+The modules are fixed, so the rows are too. They were written down from results and then read against the modules:
+most row by row, positions in the longest lists by sample. Tokens and files are counted by SQL from the text.
 """
 
 from __future__ import annotations
