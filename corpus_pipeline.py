@@ -33,9 +33,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more, through chains): that of
-    the smallest id. Rows with a null id stay only where no member has one; texts without words are one group."""
-    return near_copies.keep_one(docs)
+    """One row of each group of near copies (fingerprints as in op9 that differ in three bits at most, or five-word
+    shingles with a Jaccard similarity of 0.8 or more, through chains of both): that of the smallest id. Rows with a
+    null id stay only where no member has one; texts without words are one group."""
+    return near_copies.keep_one(docs, radius=3)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

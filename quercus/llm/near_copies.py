@@ -5,6 +5,10 @@ five places with a probability of 1.2e-7, a closer pair less. Every candidate is
 then checked on the whole sets, so no pair below 0.8 is linked. Equal texts are
 one node. In a crowded bucket each first meets the most usual node; those that
 are in different components then meet by prefix filtering, which is exact.
+
+With a ``radius``, texts whose SimHash fingerprints differ in at most that many
+bits are linked too, by the covering masks of :mod:`simhash`: each of the two
+reaches near copies that the other leaves apart.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quercus.llm.common import MAYBE, bitmap, disposable, join_skewed, may_hold, slices, texts, trimmed, written
-from quercus.llm.simhash import components, free_name, kept, named, shingles
+from quercus.llm import simhash
+from quercus.llm.simhash import components, free_name, kept, named, named_fps, shingles, simhashes
 
 SHINGLE = 5  # words
 NUM, DEN = 4, 5  # similarity of a link, as a fraction
@@ -62,16 +67,18 @@ def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _keys(src: DataFrame, shingle: int) -> DataFrame:
-    """``id, node, keys`` of every text; ``node`` is a digest of the text."""
+def _keys(src: DataFrame, shingle: int, marked: bool) -> DataFrame:
+    """``id, node, keys, fp`` of every text; ``node`` is a digest of the text, ``fp`` its fingerprint if ``marked``, else zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                keys = bands(part.column("text").to_pylist(), shingle)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), _lists(keys.ravel(), np.full(len(keys), BANDS))], ["id", "node", "keys"])
+                rows = part.column("text").to_pylist()
+                keys = bands(rows, shingle)
+                fp = simhashes(rows).view(np.int64) if marked else np.zeros(len(rows), np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("node"), _lists(keys.ravel(), np.full(len(keys), BANDS)), pa.array(fp)], ["id", "node", "keys", "fp"])
 
-    return src.select("id", "node", "text").mapInArrow(trimmed(run), "id long, node long, keys array<long>")
+    return src.select("id", "node", "text").mapInArrow(trimmed(run), "id long, node long, keys array<long>, fp long")
 
 
 @disposable
@@ -125,6 +132,13 @@ def _prefix_pairs(src: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return met.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
 
 
+def _by_fingerprint(nodes: DataFrame, radius: int) -> DataFrame:
+    """Edges ``u, v`` from each of the nodes (``node, fp``) to the least that links of at most ``radius`` bits reach."""
+    of = named_fps(nodes.select("fp", "node"), radius, simhash.CROWDED, "node").where("rows > 1")
+    least = of.select(F.col("node").alias("fp"), "n", F.col("keep_id").alias("least"))
+    return join_skewed(nodes.select("node", "fp"), least, "fp").where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+
 def _roots(edges: DataFrame) -> DataFrame:
     return components(edges) if not edges.isEmpty() else edges.select("u", F.col("v").alias("root"))
 
@@ -135,11 +149,11 @@ def digest(text) -> Column:
 
 
 @disposable
-def _groups(docs: DataFrame, shingle: int, crowded: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _groups(docs: DataFrame, shingle: int, crowded: int, id_col: str, text_col: str, radius: int | None) -> tuple[DataFrame, DataFrame]:
     """``id, node`` of each row, and what :func:`simhash.named` says of each node."""
     src = texts(docs, id_col, text_col).withColumn("node", digest("text"))
-    keys = written(_keys(src, shingle), "near-keys")
-    nodes = written(keys.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys")), "near-nodes")
+    keys = written(_keys(src, shingle, radius is not None), "near-keys")
+    nodes = written(keys.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-nodes")
     rows = nodes.select("node", F.explode("keys").alias("key"))
     several = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("members", F.col("n"))
     rows = written(join_skewed(rows, several, "key", "members"), "near-rows")
@@ -151,6 +165,8 @@ def _groups(docs: DataFrame, shingle: int, crowded: int, id_col: str, text_col:
     centre = big.groupBy("key").agg(F.max_by("node", F.struct("weight", "node")).alias("centre"), F.count("*").alias("n"))
     star = join_skewed(big.select("key", "node"), centre, "key").where("node <> centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v"))
     edges = _similar(src, written(small.union(star).distinct(), "near-pairs"), shingle)
+    if radius is not None:
+        edges = written(edges.union(_by_fingerprint(nodes, radius)), "near-and-fp-edges")
     big = big.select("key", "node").join(_roots(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     part = big.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi")
     open_ = written(join_skewed(big, part.select("key", "n"), "key").select("node", "root").distinct(), "near-open")
@@ -159,19 +175,19 @@ def _groups(docs: DataFrame, shingle: int, crowded: int, id_col: str, text_col:
     return written(keys.select("id", "node"), "near-rows-of"), named(nodes.select("node", "n", "least"), edges)
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, component_id``: the smallest id that links of the similarity reach.
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
+    """``id_col, component_id``: the smallest id that links of the similarity reach, or with ``radius`` links of either kind.
 
     Texts without words (null, empty, white space) are copies of each other, and a text of fewer words than a
     shingle is one shingle; a very long text counts whole. Rows with null ids, repeated rows, ties, empty tables and
     other columns as in ``simhash.near_duplicates``.
     """
-    keys, of = _groups(docs, shingle, crowded, id_col, text_col)
+    keys, of = _groups(docs, shingle, crowded, id_col, text_col, radius)
     return join_skewed(keys, of.select("node", "n", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, crowded: int = CROWDED, id_col: str = "doc_id", text_col: str = "text", radius: int | None = None) -> DataFrame:
     """``docs`` with one row of each component, chosen as in ``simhash.keep_one``, by the digest of the text after the id."""
-    _, of = _groups(docs, shingle, crowded, id_col, text_col)
+    _, of = _groups(docs, shingle, crowded, id_col, text_col, radius)
     key = free_name(docs.columns, "node")
     return kept(docs.withColumn(key, digest(text_col)), of, key, id_col).select(docs.columns)

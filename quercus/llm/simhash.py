@@ -264,12 +264,13 @@ def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, crowded:
     names; an empty table gives no rows.
     """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "simhash-fps")
-    of = _named_fps(fps, radius, crowded, id_col).select(F.col("node").alias("fp"), "n", "component_id")
+    of = named_fps(fps, radius, crowded, id_col).select(F.col("node").alias("fp"), "n", "component_id")
     return join_skewed(fps, of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @disposable
-def _named_fps(fps: DataFrame, radius: int, crowded: int, id_col: str) -> DataFrame:
+def named_fps(fps: DataFrame, radius: int, crowded: int, id_col: str) -> DataFrame:
+    """What :func:`named` says of each fingerprint of ``fps`` (``fp, id_col``), by the links of at most ``radius`` bits."""
     nodes = written(fps.groupBy(F.col("fp").alias("node")).agg(F.count("*").alias("n"), F.min(id_col).alias("least")), "simhash-nodes")
     return named(nodes, links(nodes.select(F.col("node").alias("fp")), radius, crowded))
 
@@ -296,7 +297,7 @@ def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "
 
     bounded(docs.sparkSession)
     marked = written(docs.withColumn(key, fp(F.col(text_col))), "simhash-docs")
-    of = _named_fps(marked.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp")), radius, CROWDED, "id")
+    of = named_fps(marked.select(F.col(id_col).cast("long").alias("id"), F.col(key).alias("fp")), radius, CROWDED, "id")
     return kept(marked, of, key, id_col).select(names)
 
 

@@ -5,6 +5,7 @@ from quercus.llm import near_copies as nc
 from quercus.llm import simhash
 
 from .test_dedup import passage
+from .test_simhash import brute_components, brute_fp
 
 
 def shingle_set(text):
@@ -62,6 +63,42 @@ def test_the_stage_drops_near_copies(spark):
     assert {r.doc_id for r in corpus_pipeline.distinct(spark, df, "").collect()} == set(range(6))
 
 
+def test_the_stage_drops_what_fingerprints_link(spark):
+    """Op9 links these at three bits or fewer, though their similarity is under 0.8; the others it leaves apart."""
+    rnd = random.Random(16)
+    rows, want = [], set()
+    for k in range(4):
+        base = passage(rnd, 100).split()
+        near = []
+        while len(near) < 2:
+            new = list(base)
+            for at in rnd.sample(range(100), 3):
+                new[at] = passage(rnd, 1) + "x"
+            a, b = shingle_set(" ".join(base)), shingle_set(" ".join(new))
+            if 5 * len(a & b) < 4 * len(a | b) and (brute_fp(" ".join(base)) ^ brute_fp(" ".join(new))).bit_count() <= 3:
+                near.append(" ".join(new))
+        close = near[0].split()  # similar to a text that only its fingerprint links
+        close[50] = "close"
+        rows += [(10 * k + 3, " ".join(base)), (10 * k + 1, near[0]), (10 * k + 2, near[1]), (10 * k + 4, " ".join(close)), (10 * k + 5, passage(rnd, 100))]
+        want |= {10 * k + 1, 10 * k + 5}
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.component_id for r in simhash.near_duplicates(df.where("doc_id % 10 < 4")).collect()} == {i for i in want if i % 10 == 1}
+    assert {r.doc_id for r in nc.keep_one(df).collect()} > want  # by similarity alone they stay
+    assert {r.doc_id for r in corpus_pipeline.distinct(spark, df, "").collect()} == want
+
+
+def test_links_of_both_kinds_equal_brute_force(spark):
+    rows = corpus()
+    least = {}
+    pairs = sorted(brute(rows)) + list(zip([i for i, _ in rows], brute_components([i for i, _ in rows], [brute_fp(t) for _, t in rows]), strict=True))
+    for i, c in pairs:  # union of the two partitions
+        a, b = least.setdefault(i, i), least.setdefault(c, c)
+        least = {k: min(a, b) if v in (a, b) else v for k, v in least.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowded in (32, 2):
+        assert {tuple(r) for r in nc.near_copies(df, crowded=crowded, radius=3).collect()} == set(least.items())
+
+
 def test_repeated_ids_with_unlike_texts(spark):
     """A row goes only for its own text: what another row of its id says does not count."""
     rnd = random.Random(14)
