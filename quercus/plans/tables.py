@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quercus.functions import bimap, names
-from quercus.operators import graph
+from quercus.operators import graph, sequences
 from quercus.plans.registry import query, table
 from quercus.plans.staging import staged
 
@@ -109,16 +109,9 @@ def repeated_sequences(spark, sf_dir):
         SELECT doc_id, min(i) AS start_word, max(i) + {K} AS end_word, max(i) - min(i) + {K} AS len FROM p GROUP BY doc_id, island""",
 )
 def maximal_repeats(spark, sf_dir):
-    """Adjacent repeated sequences joined into spans: gaps and islands over the places of each document.
-
-    Sequences are made once and written; the few that recur come back to their places.
-    """
-    grams = staged(_grams(spark, sf_dir), "grams")
-    found = grams.select("gram", "check", "doc_id").distinct().groupBy("gram", "check").agg(F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ).select("gram", "check")
-    place = grams.join(staged(found, "repeated"), ["gram", "check"]).select("doc_id", "i")
-    island = F.col("i") - F.row_number().over(Window.partitionBy("doc_id").orderBy("i"))
-    spans = place.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("i").alias("a"), F.max("i").alias("b"))
-    return spans.select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("b") + K).cast("long").alias("end_word"), (F.col("b") - F.col("a") + K).cast("long").alias("len"))
+    """Adjacent repeated sequences joined into spans: gaps and islands over the places of each document."""
+    spans = sequences.spans(table(spark, sf_dir, "documents"), PLAIN, K, MIN_FREQ)
+    return spans.select("doc_id", F.col("a").alias("start_word"), (F.col("b") + K).alias("end_word"), (F.col("b") - F.col("a") + K).alias("len"))
 
 
 # -- windows, intervals, order -------------------------------------------------------------
