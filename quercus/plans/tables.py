@@ -78,14 +78,6 @@ def large_sources(spark, sf_dir):
 K, MIN_FREQ = 8, 3
 
 
-def _grams(spark, sf_dir):
-    """``doc_id, i, gram, check``: two hashes (96 bits) of the K words from place i on; words are hashed once."""
-    words = _words(spark, sf_dir).where(F.size("words") >= K).select("doc_id", F.transform("words", lambda w: F.xxhash64(w)).alias("hs"))
-    part = F.transform(F.sequence(F.lit(1), F.size("hs") - K + 1), lambda i: F.slice("hs", i, K))
-    grams = words.select("doc_id", F.posexplode(part).alias("i", "part"))
-    return grams.select("doc_id", "i", F.xxhash64("part").alias("gram"), F.hash("part").alias("check"))
-
-
 @query(
     "repeated_sequences",
     f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{PLAIN}') AS words FROM documents),
@@ -95,9 +87,7 @@ def _grams(spark, sf_dir):
 )
 def repeated_sequences(spark, sf_dir):
     """How many K-word sequences recur how often in at least MIN_FREQ documents."""
-    per = _grams(spark, sf_dir).groupBy("gram", "check", "doc_id").agg(F.count("*").alias("n"))
-    found = per.groupBy("gram", "check").agg(F.sum("n").alias("freq"), F.count("*").alias("docs")).where(F.col("docs") >= MIN_FREQ)
-    return found.groupBy("freq", "docs").agg(F.count("*").alias("sequences"))
+    return sequences.recurring(table(spark, sf_dir, "documents"), PLAIN, K, MIN_FREQ)
 
 
 @query(

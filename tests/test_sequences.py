@@ -11,7 +11,7 @@ from quercus.plans.tables import MIN_FREQ, PLAIN, K
 load()
 
 
-@pytest.mark.parametrize("name", ["maximal_repeats"])
+@pytest.mark.parametrize("name", ["repeated_sequences", "maximal_repeats"])
 def test_odd_ids_and_many_ranges(spark, tmp_path, monkeypatch, name):
     """Ids of several rows count once and missing ids never; chunks of several tasks meet in several ranges."""
     monkeypatch.setattr(sequences, "CHUNK", 64)  # on the driver: more ranges
