@@ -61,3 +61,21 @@ def test_long_ways(spark):
     labels = graph.scc(ring)
     assert {r.node for r in graph.components_of(ring, labels, spark.createDataFrame([(4,)], "node long")).collect()} == set(range(9))
     assert graph.inside_components(ring, labels).count() == 9 and graph.into(ring, spark.createDataFrame([(20,)], "node long")).count() == 1
+
+def test_reach_by_jumps_and_forks(spark, monkeypatch):
+    """Chains into rings, forks and back: equal to a plain closure; a long chain takes few rounds."""
+    rnd = random.Random(11)
+    for n in (12,):
+        edges = sorted({(i, rnd.randrange(n)) for i in range(n) if i % 5} | {(rnd.randrange(n), rnd.randrange(n)) for _ in range(3)})
+        _, reach = brute(edges)
+        df = spark.createDataFrame(edges, "src long, dst long")
+        seeds = [edges[0][0], edges[2][0], edges[-1][0]]
+        for back in (False, True):
+            _, reach = brute([(b, a) for a, b in edges] if back else edges)
+            got = [tuple(r) for r in graph.reachable(df, spark.createDataFrame([(x,) for x in seeds], "node long"), back).collect()]
+            assert len(got) == len(set(got)) and set(got) == {(x, y) for x in seeds for y in reach[x]}
+    made = []
+    monkeypatch.setattr(graph, "staged", lambda df, what="stage", real=graph.staged: made.append(what) or real(df, what))
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
+    assert graph.reachable(chain, spark.createDataFrame([(0,)], "node long")).count() == 61
+    assert made.count("front") <= 10
