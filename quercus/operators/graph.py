@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quercus.plans.staging import discard, staged
 
+TASK_ROWS = 1 << 20  # edges that one task holds at most, about: without it, the fewer partitions the more
 COMPACT = 16  # tables that a growing union holds before they are written as one
 
 
@@ -54,8 +55,10 @@ def induced(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """``node, fan_in, fan_out`` over different edges."""
-    e = edges.distinct()
+    """``node, fan_in, fan_out`` over different edges, dealt out by both ends first: as many tasks as the edges need."""
+    e = edges.select("src", "dst")
+    parts = e.count() // TASK_ROWS + 1
+    e = (e.repartition(parts, "src", "dst") if parts > 1 else e).distinct()
     both = e.select(F.col("dst").alias("node"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(e.select("src", F.lit(0), F.lit(1)))
     return both.groupBy("node").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"))
 

@@ -79,3 +79,13 @@ def test_reach_by_jumps_and_forks(spark, monkeypatch):
     chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "src long, dst long")
     assert graph.reachable(chain, spark.createDataFrame([(0,)], "node long")).count() == 61
     assert made.count("front") <= 10
+
+
+def test_degrees_in_small_tasks(spark, monkeypatch):
+    """Edges are dealt out by their number before equal ones go; each still counts once."""
+    monkeypatch.setattr(graph, "TASK_ROWS", 50)
+    edges = spark.range(400).selectExpr("id % 20 as src", "id % 90 as dst")
+    found = graph.degrees(edges)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    want = {(i % 20, i % 90) for i in range(400)}
+    assert {tuple(r) for r in found.collect()} == {(v, sum(b == v for _, b in want), sum(a == v for a, _ in want)) for v in {x for e in want for x in e}}
