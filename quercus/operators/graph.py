@@ -115,25 +115,34 @@ def closure(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: weakly connected components, by the smallest node.
 
-    Each round hooks every node to its smallest neighbour's label and then halves the way to the root, so long
-    chains take few rounds.
+    Each round hooks every node to its smallest neighbour, follows the hooks to their roots by doubling, and goes on with
+    the edges between different roots only. Two rounds at least halve the nodes that have edges, so all rounds together
+    move a small multiple of the first; the labels are read back through the rounds.
     """
-    both = staged(edges.select("src", "dst").union(edges.select("dst", "src")).where("src <> dst").distinct(), "both-ways")
-    label = staged(nodes(edges).select("node", F.col("node").alias("label")), "labels")
-    while True:
-        near = both.join(label.select(F.col("node").alias("dst"), F.col("label").alias("other")), "dst").groupBy(F.col("src").alias("node")).agg(F.min("other").alias("other"))
-        hooked = label.join(near, "node", "left").select("node", "label", F.least("label", "other").alias("new"))
-        # a label that one of its nodes can lower takes all of them along
-        lower = hooked.groupBy("label").agg(F.min("new").alias("new"))
-        moved = staged(label.join(lower, "label").select("node", F.col("new").alias("label")), "moved")
-        jump = moved.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        nxt = staged(moved.join(jump, "label").select("node", F.col("next").alias("label")), "labels")
-        same = nxt.join(label.withColumnRenamed("label", "was"), "node").where("label <> was").isEmpty()
-        discard(moved)
-        discard(label)
-        label = nxt
-        if same:
-            return label
+    apart = F.coalesce(F.col("src") != F.col("dst"), F.lit(False))
+    pairs = staged(edges.where(apart).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(), "pairs")
+    alone = nodes(edges.where(~apart)).where("node is not null").select("node", F.col("node").alias("label"))
+    rounds: list[DataFrame] = []
+    while not pairs.isEmpty():
+        both = pairs.select("src", "dst").union(pairs.select("dst", "src"))
+        up = staged(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("least")).select("node", F.least("node", "least").alias("label"), F.lit(True).alias("moved")), "hooks")
+        while not up.where("moved").isEmpty():
+            on = up.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            nxt = staged(up.join(on, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved")), "hooks")
+            discard(up)
+            up = nxt
+        rounds.append(up.select("node", "label"))
+        a, b = up.select(F.col("node").alias("src"), F.col("label").alias("a")), up.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        left = pairs.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
+        before, pairs = pairs, staged(left, "pairs")
+        discard(before)
+    if not rounds:
+        return alone
+    found = rounds.pop()
+    while rounds:
+        last = found.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        found = staged(rounds.pop().join(last, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+    return found.union(alone.join(found, "node", "left_anti"))
 
 
 def _least(labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -89,3 +89,14 @@ def test_degrees_in_small_tasks(spark, monkeypatch):
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
     want = {(i % 20, i % 90) for i in range(400)}
     assert {tuple(r) for r in found.collect()} == {(v, sum(b == v for _, b in want), sum(a == v for a, _ in want)) for v in {x for e in want for x in e}}
+
+
+def test_components_contract(spark, monkeypatch):
+    """Later rounds see only the edges between roots; nodes with only themselves stay."""
+    made = []
+    monkeypatch.setattr(graph, "staged", lambda df, what="stage", real=graph.staged: made.append((what, (x := real(df, what)).count())) or x)
+    edges = [(1, 9), (9, 2), (2, 8), (8, 3), (3, 7), (20, 20), (5, 5), (5, 3), (30, 31)]
+    found = graph.components(spark.createDataFrame(edges, "src long, dst long"))
+    assert {tuple(r) for r in found.collect()} == {(v, 1) for v in (1, 2, 3, 5, 7, 8, 9)} | {(20, 20), (30, 30), (31, 30)}
+    sizes = [n for what, n in made if what == "pairs"]
+    assert sizes[0] == 7 and sizes[-1] == 0 and all(b <= a // 2 for a, b in zip(sizes, sizes[1:]))
